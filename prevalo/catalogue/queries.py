@@ -16,7 +16,6 @@ SEVERAL = ("C222", "C728", "C812", "C817")
 FAMILY = "E849"
 YEAR = 2002
 LABEL_YEARS = (1999, 2000)
-CONTRACT = ("PSID", "VSID")
 
 QUERIES: dict[str, Callable[[Claims], DataFrame]] = {}
 
@@ -31,7 +30,7 @@ def registered(query: Callable[[Claims], DataFrame]) -> Callable[[Claims], DataF
 
 def _cases(c: Claims, **options) -> DataFrame:
     """The rare-disease cohort per person and contract, staged because it is read often."""
-    return stage(op.cohort(c.diagnoses, RARE, secondary=True, key=CONTRACT, **options), "cases")
+    return stage(op.cohort(c.diagnoses, RARE, secondary=True, key=op.CONTRACT, **options), "cases")
 
 
 def _legacy_cases(c: Claims) -> DataFrame:
@@ -88,8 +87,8 @@ def _labels(c: Claims) -> DataFrame:
 
 
 def _diagnosed(c: Claims, code: str, exact: bool = False) -> DataFrame:
-    found = op.filter_codes(c.outpatient, code, exact)
-    return op.diagnosed_persons(found, op.person_demographics(c.vers, c.versq, YEAR))
+    counts = stage(op.diagnosis_counts(op.filter_codes(c.outpatient, code, exact)), "diagnosed")
+    return op.diagnosed_persons(counts, c.vers, c.versq, YEAR)
 
 
 # --- cohorts ------------------------------------------------------------------------------
@@ -117,12 +116,12 @@ def cohort_multi_prefix(c: Claims) -> DataFrame:
 
 @registered
 def cohort_secondary(c: Claims) -> DataFrame:
-    return op.cohort(c.diagnoses, RARE, secondary=True, key=CONTRACT)
+    return op.cohort(c.diagnoses, RARE, secondary=True, key=op.CONTRACT)
 
 
 @registered
 def cohort_secondary_relabelled(c: Claims) -> DataFrame:
-    return op.cohort(c.diagnoses, RARE, secondary=True, relabel=True, key=CONTRACT)
+    return op.cohort(c.diagnoses, RARE, secondary=True, relabel=True, key=op.CONTRACT)
 
 
 @registered
@@ -162,7 +161,7 @@ def remaining_population_outpatient(c: Claims) -> DataFrame:
 
 @registered
 def sex_consensus(c: Claims) -> DataFrame:
-    return op.sex_by_consensus(c.versq, CONTRACT, "Unknown")
+    return op.sex_by_consensus(c.versq, op.CONTRACT, "Unknown")
 
 
 @registered
@@ -188,7 +187,7 @@ def demographics_fixed_year(c: Claims) -> DataFrame:
 
 @registered
 def demographics_m2m(c: Claims) -> DataFrame:
-    return _outpatient_codes(op.paired_demographics(_several(c), c.vers, c.versq, YEAR))
+    return _outpatient_codes(op.paired_demographics(stage(_several(c), "several"), c.vers, c.versq, YEAR, prefilter=True))
 
 
 # --- age and sex --------------------------------------------------------------------------
@@ -224,8 +223,11 @@ def age_sex_8band(c: Claims) -> DataFrame:
 
 @registered
 def age_sex_8band_persons(c: Claims) -> DataFrame:
-    demo = op.paired_demographics(_several(c), c.vers, c.versq, YEAR, BANDS_EIGHT)
-    return _outpatient_codes(op.age_sex_distribution(demo, measure="persons"))
+    # Banded pairs are distinct already: each row is one person.
+    demo = op.paired_demographics(
+        stage(_several(c), "several"), c.vers, c.versq, YEAR, BANDS_EIGHT, prefilter=True
+    )
+    return _outpatient_codes(op.age_sex_distribution(demo))
 
 
 @registered
@@ -233,7 +235,7 @@ def age_sex_remaining(c: Claims) -> DataFrame:
     members = stage(_several(c), "several")
     rest = op.remaining(c.outpatient, members, confirmed_only=False, key=("PSID",), grain="distinct")
     demo = op.paired_demographics(rest, c.vers, c.versq, YEAR, BANDS_EIGHT)
-    return _outpatient_codes(op.age_sex_distribution(demo, measure="persons"))
+    return _outpatient_codes(op.age_sex_distribution(demo))
 
 
 # --- postcodes ----------------------------------------------------------------------------
@@ -328,7 +330,7 @@ def comorbidity_top20_by_base_year(c: Claims) -> DataFrame:
 
 
 def _row_counts(c: Claims) -> DataFrame:
-    persons = stage(_diagnosed(c, RARE).select("PSID"), "diagnosed")
+    persons = stage(_diagnosed(c, RARE).select("PSID"), "diagnosed-persons")
     return op.comorbidity_row_counts(c.outpatient, persons, RARE)
 
 

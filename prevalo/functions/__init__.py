@@ -9,7 +9,7 @@ from prevalo.functions.codes import (
     normalise_code,
     normalise_codes,
 )
-from prevalo.functions.sex import consensus_label, sex_label, valid_sex
+from prevalo.functions.sex import consensus_label, first_sex_code, sex_label, valid_sex
 
 __all__ = [
     "age_at_event",
@@ -17,6 +17,7 @@ __all__ = [
     "band",
     "consensus_label",
     "exact_or_g_suffix",
+    "first_sex_code",
     "histogram_bin",
     "match_codes",
     "matches_exact",

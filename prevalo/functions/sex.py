@@ -25,3 +25,12 @@ def consensus_label(code: Column, otherwise: str | None = None) -> Column:
     """
     lowest, highest = F.min(valid_sex(code)), F.max(valid_sex(code))
     return sex_label(F.when(lowest == highest, lowest), otherwise)
+
+
+def first_sex_code() -> Column:
+    """Aggregate: sex code of the first quarterly entry by quarter, contract and code.
+
+    A minimum over the ordering columns picks the row in one combining aggregation, so no
+    key's rows are gathered and sorted in a window.
+    """
+    return F.min(F.struct("VERSQ", "VSID", "GESCHLECHT")).getField("GESCHLECHT")

@@ -1,6 +1,8 @@
 """Cohort operators: DataFrame in, DataFrame out."""
 
 from prevalo.operators.cohort import (
+    CONTRACT,
+    PERSON,
     cohort,
     cohort_for_list,
     cohort_size,
@@ -49,10 +51,12 @@ from prevalo.operators.occurrence import (
     occurrence_for_cohort_demographics,
     prefix_codes,
 )
-from prevalo.operators.summaries import age_histogram, diagnosed_persons, sex_share
+from prevalo.operators.summaries import age_histogram, diagnosed_persons, diagnosis_counts, sex_share
 
 __all__ = [
     "CASE_RULES",
+    "CONTRACT",
+    "PERSON",
     "REST_RULES",
     "DemographicRules",
     "age_histogram",
@@ -70,6 +74,7 @@ __all__ = [
     "demographics",
     "describe",
     "diagnosed_persons",
+    "diagnosis_counts",
     "filter_codes",
     "first_sex",
     "fixed_year_rules",

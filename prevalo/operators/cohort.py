@@ -9,7 +9,7 @@ from prevalo.functions import match_codes, normalise_codes
 from prevalo.operators.diagnoses import is_confirmed
 
 PERSON = ("PSID",)
-PERSON_AND_CONTRACT = ("PSID", "VSID")
+CONTRACT = ("PSID", "VSID")
 
 
 def _reduce(events: DataFrame, key: Sequence[str], grain: str) -> DataFrame:
@@ -95,7 +95,7 @@ def remaining(
     members: DataFrame,
     *,
     confirmed_only: bool = True,
-    key: Sequence[str] = PERSON_AND_CONTRACT,
+    key: Sequence[str] = CONTRACT,
     grain: str = "first_year",
 ) -> DataFrame:
     """Diagnoses of everyone outside the cohort, excluded by person whatever the key.

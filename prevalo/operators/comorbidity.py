@@ -32,7 +32,7 @@ def comorbidities(
         .distinct()
     )
     # The semi-join is what can move below the distinct when the cohort is small.
-    linked = for_persons(others, base, ["PSID", "BJAHR"]).join(base, ["PSID", "BJAHR"])
+    linked = for_persons(others, members, ["PSID", "BJAHR"]).join(base, ["PSID", "BJAHR"])
     # Both sides are distinct, so each row is one person: a plain count is a distinct count.
     counted = linked.groupBy("ICDAMB_CODE_BASE", "BJAHR", "ICDAMB_CODE_COMORBID").agg(
         F.count("PSID").alias("CNT_D_PSID")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prevalo.constants import BANDS_ADULT, BANDS_EVENT, SEX_LABELS, UNKNOWN
-from prevalo.functions import age_at_event, age_in_year, band, consensus_label, sex_label
+from prevalo.functions import age_at_event, age_in_year, band, consensus_label, first_sex_code, sex_label
 from prevalo.functions.bands import Band
-from prevalo.operators.cohort import PERSON, PERSON_AND_CONTRACT, for_persons
+from prevalo.operators.cohort import PERSON, CONTRACT, for_persons
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,7 @@ class DemographicRules:
     diagnosis year, a year takes the age in that year.
     """
 
-    key: Sequence[str] = PERSON_AND_CONTRACT
+    key: Sequence[str] = CONTRACT
     sex: str = "consensus"
     unknown_sex: str | None = None
     known_sex_only: bool = False
@@ -58,20 +58,15 @@ def insured(vers: DataFrame, key: Sequence[str] = PERSON, blank_plz_is_missing:
 
 
 def sex_by_consensus(
-    versq: DataFrame, key: Sequence[str] = PERSON_AND_CONTRACT, otherwise: str | None = None
+    versq: DataFrame, key: Sequence[str] = CONTRACT, otherwise: str | None = None
 ) -> DataFrame:
     """One row per key with the sex all valid quarterly entries agree on."""
     return versq.groupBy(*key).agg(consensus_label(F.col("GESCHLECHT"), otherwise).alias("GESCHLECHT_LABEL"))
 
 
 def first_sex(versq: DataFrame, key: Sequence[str] = PERSON) -> DataFrame:
-    """One row per key: sex code of the first entry by quarter, contract and code.
-
-    A minimum over the ordering columns picks the row in one combining aggregation, so no
-    key's rows are gathered and sorted in a window.
-    """
-    first = F.min(F.struct("VERSQ", "VSID", "GESCHLECHT"))
-    return versq.groupBy(*key).agg(first.alias("first")).select(*key, F.col("first.GESCHLECHT").alias("GESCHLECHT"))
+    """One row per key: sex code of the first entry under a total order."""
+    return versq.groupBy(*key).agg(first_sex_code().alias("GESCHLECHT"))
 
 
 def profiles(
@@ -87,8 +82,8 @@ def profiles(
     if rules.sex == "consensus":
         sex, how = sex_by_consensus(versq, key, rules.unknown_sex), "left"
     elif rules.sex == "first_row":
-        labelled = sex_label(F.col("GESCHLECHT"), rules.unknown_sex)
-        sex, how = first_sex(versq, key).select(*key, labelled.alias("GESCHLECHT_LABEL")), "inner"
+        label = sex_label(first_sex_code(), rules.unknown_sex)
+        sex, how = versq.groupBy(*key).agg(label.alias("GESCHLECHT_LABEL")), "inner"
     else:
         raise ValueError(f"unknown sex rule {rules.sex!r}")
     if persons is not None:
@@ -129,37 +124,46 @@ def demographics(
 
 
 def paired_demographics(
-    members: DataFrame, vers: DataFrame, versq: DataFrame, reference_year: int, bands: Sequence[Band] | None = None
+    members: DataFrame,
+    vers: DataFrame,
+    versq: DataFrame,
+    reference_year: int,
+    bands: Sequence[Band] | None = None,
+    *,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Every known birth year and every known sex of each cohort row.
 
     All three sides are made distinct before the join, so a person multiplies only by its
     different birth years and sexes and the result needs no second distinct. With
-    ``bands`` the birth years are folded into AGE_GROUP before joining.
+    ``bands`` the birth years are folded into AGE_GROUP before joining, so counting rows
+    per group counts distinct persons. ``prefilter`` is for staged cohorts.
     """
     age = age_in_year(reference_year, F.col("GEBJAHR"))
-    births = vers.filter(F.col("GEBJAHR").isNotNull())
-    if bands is None:
-        births = births.select("PSID", "GEBJAHR").distinct().withColumn("ALTER", age)
-    else:
-        births = births.select("PSID", band(age, bands, UNKNOWN).alias("AGE_GROUP")).distinct()
+    birth = F.col("GEBJAHR") if bands is None else band(age, bands, UNKNOWN).alias("AGE_GROUP")
+    births = vers.filter(F.col("GEBJAHR").isNotNull()).select("PSID", birth).distinct()
     sexes = versq.filter(F.col("GESCHLECHT").isin(*SEX_LABELS)).select("PSID", "GESCHLECHT").distinct()
-    rows = members.select("PSID", "ICD_CODE", "BJAHR").distinct().join(births, "PSID").join(sexes, "PSID")
+    if prefilter:
+        births, sexes = for_persons(births, members), for_persons(sexes, members)
+    columns = ["PSID", "ICD_CODE", "BJAHR"]
+    rows = members.select(*columns).distinct().join(births, "PSID").join(sexes, "PSID")
     if bands is None:
-        return rows.select("PSID", "ICD_CODE", "BJAHR", "GEBJAHR", "GESCHLECHT", "ALTER")
-    return rows.select(
-        "PSID", "ICD_CODE", "BJAHR", "AGE_GROUP", sex_label(F.col("GESCHLECHT")).alias("GESCHLECHT_LABEL")
-    )
+        return rows.select(*columns, "GEBJAHR", "GESCHLECHT", age.alias("ALTER"))
+    return rows.select(*columns, "AGE_GROUP", sex_label(F.col("GESCHLECHT")).alias("GESCHLECHT_LABEL"))
 
 
-def person_demographics(vers: DataFrame, versq: DataFrame, reference_year: int | None = None) -> DataFrame:
+def person_demographics(
+    vers: DataFrame, versq: DataFrame, reference_year: int | None = None, persons: DataFrame | None = None
+) -> DataFrame:
     """One row per person present in both master tables, first entry of each by a total order.
 
     The least pair of a cross product is the pair of the least entries, so each table is
-    reduced on its own before they meet.
+    reduced on its own before they meet. ``persons`` restricts both tables to its keys.
     """
     master = vers.groupBy("PSID").agg(F.min(F.struct("VSID", "GEBJAHR", "PLZ")).alias("v"))
     quarter = versq.groupBy("PSID").agg(F.min(F.struct("VERSQ", "VSID", "GESCHLECHT")).alias("q"))
+    if persons is not None:
+        master, quarter = for_persons(master, persons), for_persons(quarter, persons)
     return master.join(quarter, "PSID").select(
         "PSID",
         F.col("v.VSID").alias("VSID_X"),

@@ -4,11 +4,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prevalo.functions import histogram_bin
+from prevalo.operators.demographics import person_demographics
 
 
-def diagnosed_persons(diagnoses: DataFrame, persons: DataFrame) -> DataFrame:
-    """Persons of ``persons`` with a diagnosis, and N_ROWS diagnosis rows each."""
-    return diagnoses.groupBy("PSID").agg(F.count(F.lit(1)).alias("N_ROWS")).join(persons, "PSID")
+def diagnosis_counts(diagnoses: DataFrame) -> DataFrame:
+    """Persons with a diagnosis and how many diagnosis rows (N_ROWS) each has."""
+    return diagnoses.groupBy("PSID").agg(F.count(F.lit(1)).alias("N_ROWS"))
+
+
+def diagnosed_persons(
+    counts: DataFrame, vers: DataFrame, versq: DataFrame, reference_year: int | None = None
+) -> DataFrame:
+    """Diagnosed persons with N_ROWS and their demographics; ``counts`` should be staged."""
+    return counts.join(person_demographics(vers, versq, reference_year, counts), "PSID")
 
 
 def _count(dedupe: bool):

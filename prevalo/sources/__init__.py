@@ -1,6 +1,6 @@
 """Readers for claims tables, code lists and labels; writers for results."""
 
-from prevalo.sources.claims import Claims, read_claims, read_claims_tables
+from prevalo.sources.claims import Claims, read_claims, read_claims_tables, store_claims
 from prevalo.sources.code_list import code_frame, read_code_list
 from prevalo.sources.results import write_result, write_results
 from prevalo.sources.staging import stage
@@ -12,6 +12,7 @@ __all__ = [
     "read_claims_tables",
     "read_code_list",
     "stage",
+    "store_claims",
     "write_result",
     "write_results",
 ]

@@ -96,3 +96,18 @@ def read_claims_tables(
     return _assemble(
         {t: _conform(spark.table(f"{database}.{prefix}{t}"), schemas[t], t) for t in tables}
     )
+
+
+def store_claims(claims: Claims, root: str) -> Claims:
+    """Write the tables as ``<root>/<TABLE>.parquet`` and return them read from there.
+
+    Worth doing once for delimited sources, which every report would parse again.
+    """
+    tables = {}
+    for name in ("ambdiag", "khdiag", "vers", "versq"):
+        table = getattr(claims, name)
+        if table is not None:
+            path = f"{root}/{name.upper()}.parquet"
+            table.write.mode("overwrite").parquet(path)
+            tables[name.upper()] = table.sparkSession.read.schema(table.schema).parquet(path)
+    return _assemble(tables)
