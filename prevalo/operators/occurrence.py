@@ -85,7 +85,7 @@ def code_occurrence(
     if keep_code:
         columns.append("ICD_CODE")
     found = label_occurrences(diagnoses, by_exact, by_prefix).select(*columns).distinct()
-    return found if members is None else for_persons(found, members, LINKS[link])
+    return found if members is None else for_persons(found, members, LINKS[link]).select(*columns)
 
 
 def occurrence_age_sex(

@@ -30,5 +30,8 @@ def read_code_list(spark: SparkSession, path: str, *, sep: str = ";", skip_rows:
 
 
 def code_frame(spark: SparkSession, codes: str | Iterable[str]) -> DataFrame:
-    """Codes given by the caller as a table; POS keeps their order."""
-    return spark.createDataFrame(list(enumerate(normalise_codes(codes))), "POS int, ICD_CODE string")
+    """Codes given by the caller as a table; POS keeps their order.
+
+    Exploded from a literal, so that Catalyst knows how small it is.
+    """
+    return spark.range(1).select(F.posexplode(F.lit(normalise_codes(codes))).alias("POS", "ICD_CODE"))

@@ -1,0 +1,115 @@
+import pytest
+
+from prevalo import operators as op
+from tests.conftest import rows
+
+DEMO = "PSID long, ICD_CODE string, BJAHR int, PLZ string, AGE_GROUP string, GESCHLECHT_LABEL string"
+
+
+@pytest.fixture
+def demo(spark):
+    def build(*data):
+        return spark.createDataFrame(list(data), DEMO)
+
+    return build
+
+
+def test_measures_count_rows_persons_and_person_years(demo):
+    d = demo(
+        (1, "A", 2015, "1", "0-18", "Male"),
+        (1, "A", 2016, "1", "0-18", "Male"),
+        (1, "A", 2016, "2", "0-18", "Male"),
+        (2, "A", 2016, "1", "0-18", "Male"),
+    )
+
+    def count(measure):
+        return rows(op.age_sex_distribution(d, by=("ICD_CODE",), measure=measure), "CNT_D_PSID")
+
+    assert (count("rows"), count("persons"), count("person_years")) == ([(4,)], [(2,)], [(3,)])
+    with pytest.raises(ValueError, match="measure"):
+        count("visits")
+
+
+def test_rows_measure_uses_the_row_weight(demo):
+    d = demo((1, "A", 2015, "1", "0-18", "Male"), (2, "A", 2015, "1", "0-18", "Male")).selectExpr("*", "PSID * 3 AS N_ROWS")
+    assert rows(op.age_sex_distribution(d), "CNT_D_PSID") == [(9,)]
+
+
+def test_person_years_keep_a_missing_year(demo):
+    d = demo((1, "A", None, "1", "0-18", "Male"), (1, "A", 2015, "1", "0-18", "Male"))
+    assert rows(op.age_sex_distribution(d, by=("ICD_CODE",), measure="person_years"), "CNT_D_PSID") == [(2,)]
+
+
+def test_case_control_keeps_unknown_ages_of_cases_and_drops_nulls(demo):
+    cases = demo(
+        (1, "Q780", 2015, "1", "0-18", "Female"),
+        (2, "Q780", 2015, "1", "Unknown", "Male"),
+        (3, "Z251", 2015, "1", "0-18", "Female"),
+    )
+    rest = demo(
+        (8, "I10", 2015, "1", "50+", "Male"),
+        (8, "J06", 2015, "1", "50+", "Male"),
+        (8, "I10", 2016, "1", "50+", "Male"),
+        (9, "I10", 2015, "1", None, "Male"),
+        (9, "I10", 2015, "1", "50+", None),
+    )
+    assert rows(op.age_sex_case_control(cases, rest, "!Q780")) == [
+        ("!Q780", "50+", "Male", 2),
+        ("Q780", "0-18", "Female", 1),
+        ("Q780", "Unknown", "Male", 1),
+        ("Z251", "0-18", "Female", 1),
+    ]
+    by_persons = op.age_sex_case_control(cases, rest, "!Q780", measure="persons")
+    assert ("!Q780", "50+", "Male", 1) in rows(by_persons)
+
+
+def test_totals_and_top_break_ties_by_code(spark):
+    dist = spark.createDataFrame([("B", 5), ("A", 3), ("A", 2), ("C", 9)], "ICDAMB_CODE string, CNT_D_PSID long")
+    assert rows(op.totals(dist, ["ICDAMB_CODE"])) == [("A", 5), ("B", 5), ("C", 9)]
+    top = op.top_totals(dist, "ICDAMB_CODE", 2)
+    assert [tuple(r) for r in top.collect()] == [("C", 9), ("A", 5)]
+
+
+def test_postcode_areas_keep_missing_and_blank_groups(demo):
+    d = demo(
+        (1, "A", 2015, "01067", "0-18", "Male"),
+        (1, "A", 2016, "01069", "0-18", "Male"),
+        (2, "A", 2015, "02826", "0-18", "Male"),
+        (3, "A", 2015, "", "0-18", "Male"),
+        (4, "A", 2015, None, "0-18", "Male"),
+    )
+    assert rows(op.plz_distribution(d, 1)) == [(None, 1), ("", 1), ("0", 2)]
+    assert rows(op.plz_distribution(d, 2, name="PLZ2")) == [(None, 1), ("", 1), ("01", 1), ("02", 1)]
+    assert rows(op.plz_distribution(d, None, ("ICD_CODE",)))[-1] == ("A", "02826", 1)
+
+
+def test_postcodes_of_cases_and_rest(demo):
+    cases = demo(
+        (1, "Q780", 2015, "10115", "0-18", "Female"),
+        (1, "Z251", 2015, "10115", "0-18", "Female"),
+        (2, "Q780", 2015, "20095", "0-18", "Male"),
+        (3, "Q780", 2015, "", "0-18", "Male"),
+    )
+    rest = demo(
+        (8, "I10", 2015, "10115", "50+", "Male"),
+        (9, "I10", 2015, "30159", "50+", None),
+        (7, "I10", 2015, None, "50+", "Male"),
+    )
+    found = op.plz_case_control(cases, rest)
+    assert found.columns == [
+        "PLZ", "CNT_D_PSID_TOTAL", "CNT_D_PSID_OI_F", "CNT_D_PSID_OI_M", "CNT_D_PSID_REMAIN_F", "CNT_D_PSID_REMAIN_M",
+    ]
+    # 30159 holds only a person of unknown sex: its row is all zeros.
+    assert rows(found) == [("10115", 2, 1, 0, 0, 1), ("20095", 1, 0, 1, 0, 0), ("30159", 0, 0, 0, 0, 0)]
+    assert all(r[1] == sum(r[2:]) for r in rows(found))
+    assert rows(op.plz_case_control(cases, rest, digits=1), "PLZ", "CNT_D_PSID_TOTAL") == [("1", 2), ("2", 1), ("3", 0)]
+
+
+def test_postcode_list_is_sorted_and_distinct(demo):
+    d = demo(
+        (1, "A", 2015, "2", "0-18", "Male"),
+        (2, "A", 2015, "1", "0-18", "Male"),
+        (3, "A", 2015, "2", "0-18", "Male"),
+        (4, "B", 2015, None, "0-18", "Male"),
+    )
+    assert rows(op.plz_list(d, ("ICD_CODE",))) == [("A", 3, "1,2"), ("B", 1, None)]

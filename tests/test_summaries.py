@@ -1,0 +1,63 @@
+import pytest
+
+from prevalo import operators as op
+from prevalo.plans import label_years, result_folder
+from prevalo.sources import code_frame
+from tests.conftest import rows
+
+
+@pytest.fixture
+def diagnosed(spark):
+    return spark.createDataFrame(
+        [(1, 3, "Female", 15), (2, 1, "Male", 16), (3, 2, "Female", None), (4, 2, None, 20)],
+        "PSID long, N_ROWS long, GESCHLECHT string, ALTER int",
+    )
+
+
+def test_histogram_counts_rows_or_persons(diagnosed):
+    assert rows(op.age_histogram(diagnosed)) == [(None, 20, 2), ("Female", 10, 3), ("Male", 20, 1)]
+    assert rows(op.age_histogram(diagnosed, dedupe=True)) == [(None, 20, 1), ("Female", 10, 1), ("Male", 20, 1)]
+
+
+def test_sex_share_keeps_unknown_as_its_own_group(diagnosed):
+    found = {r[0]: r[1:] for r in rows(op.sex_share(diagnosed))}
+    assert found["Female"] == (5, 62.5, "Female\n5 (62.5%)")
+    assert found[None][2] == "NA\n2 (25.0%)"
+    assert sum(v[1] for v in found.values()) == pytest.approx(100)
+
+
+def test_diagnosed_persons_need_both_master_tables(claims):
+    c = claims(
+        amb=[(1, 1, 2015, "E849", "G"), (1, 1, 2016, "E849", "G"), (2, 1, 2015, "E849", "G")],
+        vers=[(1, 1, 1990, "1"), (2, 1, 1990, "1")],
+        versq=[(1, 1, 20151, 1)],
+    )
+    counts = op.diagnosis_counts(op.filter_codes(c.outpatient, "E84"))
+    assert rows(op.diagnosed_persons(counts, c.vers, c.versq, 2020), "PSID", "N_ROWS", "ALTER") == [(1, 2, 30)]
+
+
+def test_dictionary_names_the_codes_in_the_given_order(spark):
+    found = op.table_entries(code_frame(spark, ["C72.8", "C222"])).collect()
+    assert [r.TABELLENNAME for r in found] == ["RT_AGE_SEX_DIST", "RT_COMORBIDITIES"]
+    assert found[0].BESCHREIBUNG == "Alters- und Geschlechtsverteilung für ICD-10: C728, C222"
+    assert found[1].BESCHREIBUNG == "Top 20 Komorbiditäten (≥10% Prävalenz) für ICD-10: C728, C222"
+    assert {r.EINSCHLUSS_FILTERKRITERIEN for r in found} == {"Versicherte mit ambulanter Diagnose(n): C728, C222"}
+
+
+def test_dictionary_columns(spark):
+    found = op.column_entries(spark)
+    assert found.columns == ["TABELLENNAME", "KLASSIFIKATION_STATISTISCH", "SPALTENNAME", "BESCHREIBUNG"]
+    assert found.count() == 9
+    assert found.filter("KLASSIFIKATION_STATISTISCH = 'Fallzahl'").count() == 2
+
+
+def test_label_years():
+    assert label_years("2019, 2020", latest=2024) == [2019, 2020]
+    assert label_years([2021]) == [2021]
+    for wrong in ("2018", "2025", "20x9", ""):
+        with pytest.raises(ValueError):
+            label_years(wrong, latest=2024)
+
+
+def test_result_folder():
+    assert result_folder("/out", "E84", [2019, 2020]) == "/out/E84_2019_2020_results"
