@@ -4,9 +4,12 @@ Orders become contacts of a person, line items their diagnoses; the open lines a
 outpatient, the finished ones inpatient.
 """
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from prevalo.constants import INPATIENT, OUTPATIENT
 from prevalo.sources import Claims
 
 # The 50 codes that part sizes 1 to 50 stand for.
@@ -18,62 +21,80 @@ CODES = (
 )
 
 
-def _code(position):
-    return F.split_part(F.lit(CODES), F.lit(","), position)
+@cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a parquet table, read from its footer once per session."""
+    return spark.read.parquet(path).schema
 
 
 def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
-    """AMBDIAG, KHDIAG, VERS and VERSQ as lazy frames over the parquet tables."""
+    """AMBDIAG, KHDIAG, VERS and VERSQ as lazy frames over the parquet tables.
+
+    Diagnoses come from one pass over the lines. The master tables only ask whether a
+    contact has any line, so they semi-join the contacts instead of multiplying them.
+    """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        return spark.read.schema(_schema(spark, path)).parquet(path)
 
-    second_contract = F.col("o_orderdate") >= F.lit("1998-07-01 00:00:00").cast("timestamp")
-    lines = (
-        table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("o_custkey").alias("PSID"),
-            (F.col("o_custkey") * 10 + F.when(second_contract, 2).otherwise(1)).alias("VSID"),
-            F.year("o_orderdate").alias("BJAHR"),
-            F.quarter("o_orderdate").alias("Q"),
-            _code(F.col("p_size")).alias("ICD"),
-            F.when(F.col("l_linenumber") % 3 == 0, _code((F.col("p_size") * 3) % 50 + 1)).alias("SEK"),
-            F.when(F.col("l_returnflag").isin("A", "R"), "G").otherwise("V").alias("DIAGSICH"),
-            F.col("l_linestatus").alias("SRC"),
+    contacts = table("orders").selectExpr(
+        "o_orderkey AS l_orderkey",
+        "o_custkey AS PSID",
+        "o_custkey * 10 + IF(o_orderdate < TIMESTAMP '1998-07-01 00:00:00', 1, 2) AS VSID",
+        "year(o_orderdate) AS BJAHR",
+        "quarter(o_orderdate) AS Q",
+    )
+    lines, parts = table("lineitem"), table("part").selectExpr("p_partkey AS l_partkey", "p_size")
+    diagnoses = (
+        lines.filter("l_linestatus IN ('O', 'F')")
+        .join(contacts, "l_orderkey")
+        .join(parts, "l_partkey")
+        .selectExpr(
+            "PSID",
+            "VSID",
+            "BJAHR",
+            f"split_part('{CODES}', ',', p_size) AS ICD_CODE",
+            f"IF(l_linestatus = 'F' AND l_linenumber % 3 = 0, split_part('{CODES}', ',', p_size * 3 % 50 + 1), NULL)"
+            " AS SEK_CODE",
+            "IF(l_linestatus = 'O', IF(l_returnflag IN ('A', 'R'), 'G', 'V'), NULL) AS DIAGSICH",
+            f"IF(l_linestatus = 'O', '{OUTPATIENT}', '{INPATIENT}') AS SRC",
         )
     )
-    outpatient = lines.filter("SRC = 'O'").select("PSID", "VSID", "BJAHR", F.col("ICD").alias("ICDAMB_CODE"), "DIAGSICH")
-    inpatient = lines.filter("SRC = 'F'").select(
-        "PSID", "VSID", "BJAHR", F.col("ICD").alias("ICDKH_CODE"), F.col("SEK").alias("SEKICD_CODE")
+    ambdiag = diagnoses.filter(f"SRC = '{OUTPATIENT}'").selectExpr(
+        "PSID", "VSID", "BJAHR", "ICD_CODE AS ICDAMB_CODE", "DIAGSICH"
+    )
+    khdiag = diagnoses.filter(f"SRC = '{INPATIENT}'").selectExpr(
+        "PSID", "VSID", "BJAHR", "ICD_CODE AS ICDKH_CODE", "SEK_CODE AS SEKICD_CODE"
     )
 
-    psid, year = F.col("PSID"), F.col("BJAHR")
-    homes = table("customer").select(F.col("c_custkey").alias("PSID"), "c_nationkey")
-    birth = F.when(psid % 41 == 0, None).otherwise(1910 + (psid * 13) % 85 + year % 2).cast("int")
-    area = (F.col("c_nationkey") * 4001 + (psid % 97) * 11) % 100000
-    plz = F.when(psid % 31 == 0, None).when(psid % 29 == 0, "").otherwise(F.lpad(area.cast("string"), 5, "0"))
+    known = lines.join(parts, "l_partkey", "left_semi").select("l_orderkey")
+    used = contacts.join(known, "l_orderkey", "left_semi")
     vers = (
-        lines.select("PSID", "VSID", "BJAHR")
+        used.select("PSID", "VSID", "BJAHR")
         .distinct()
-        .join(homes, "PSID")
-        .select("PSID", "VSID", "BJAHR", birth.alias("GEBJAHR"), plz.alias("PLZ"))
-    )
-    conflicting = F.when(year % 2 == 0, 1).otherwise(2)
-    sex = (
-        F.when(psid % 23 == 0, conflicting)
-        .when(psid % 19 == 0, 0)
-        .when(psid % 17 == 0, None)
-        .otherwise(1 + psid % 2)
-        .cast("int")
+        .join(table("customer").selectExpr("c_custkey AS PSID", "c_nationkey"), "PSID")
+        .selectExpr(
+            "PSID",
+            "VSID",
+            "BJAHR",
+            "CAST(IF(PSID % 41 = 0, NULL, 1910 + PSID * 13 % 85 + BJAHR % 2) AS INT) AS GEBJAHR",
+            "CASE WHEN PSID % 31 = 0 THEN NULL WHEN PSID % 29 = 0 THEN ''"
+            " ELSE lpad(CAST((c_nationkey * 4001 + PSID % 97 * 11) % 100000 AS STRING), 5, '0') END AS PLZ",
+        )
     )
     versq = (
-        lines.select("PSID", "VSID", "BJAHR", "Q")
+        used.select("PSID", "VSID", "BJAHR", "Q")
         .distinct()
-        .select("PSID", "VSID", (year * 10 + F.col("Q")).alias("VERSQ"), sex.alias("GESCHLECHT"))
+        .selectExpr(
+            "PSID",
+            "VSID",
+            "BJAHR * 10 + Q AS VERSQ",
+            "CAST(CASE WHEN PSID % 23 = 0 THEN IF(BJAHR % 2 = 0, 1, 2) WHEN PSID % 19 = 0 THEN 0"
+            " WHEN PSID % 17 = 0 THEN NULL ELSE 1 + PSID % 2 END AS INT) AS GESCHLECHT",
+        )
     )
-    return Claims(ambdiag=outpatient, khdiag=inpatient, vers=vers, versq=versq)
+    return Claims(ambdiag=ambdiag, khdiag=khdiag, vers=vers, versq=versq, unified=diagnoses)
 
 
 # The same tables as SQL common table expressions for the check engine.

@@ -68,6 +68,10 @@ SHARED = {
              THEN {_sex("min(GESCHLECHT) FILTER (GESCHLECHT IN (1, 2))")}
              ELSE 'Unknown' END AS GESCHLECHT_LABEL
       FROM VERSQ GROUP BY PSID, VSID""",
+    "CASE_YEARS": """
+      SELECT PSID, VSID, BJAHR FROM AMBDIAG WHERE ICDAMB_CODE = 'Q780' AND DIAGSICH = 'G'
+      UNION
+      SELECT PSID, VSID, BJAHR FROM KHDIAG WHERE 'Q780' IN (ICDKH_CODE, SEKICD_CODE)""",
     "DEMO_CASES": f"""
       SELECT i.PSID, i.ICD_CODE, i.BJAHR, h.PLZ, i.BJAHR - h.GEBJAHR AS ALTER,
         {_band("(i.BJAHR - h.GEBJAHR)", BANDS_EVENT, "'Unknown'")} AS AGE_GROUP, s.GESCHLECHT_LABEL
@@ -213,6 +217,28 @@ def _occurrence_counts(found: str) -> str:
       GROUP BY ALL"""
 
 
+def _sex_share(measure: str) -> str:
+    return f"""
+      SELECT GESCHLECHT, n, percent,
+        printf('%s' || chr(10) || '%d (%.1f%%)', coalesce(GESCHLECHT, 'NA'), n, percent) AS label
+      FROM (SELECT GESCHLECHT, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) * 100 AS percent
+            FROM (SELECT GESCHLECHT, {measure} AS n FROM DIAGNOSED GROUP BY GESCHLECHT))"""
+
+
+def _plz_case_control(area: str) -> str:
+    def side(demo: str) -> str:
+        return f"""SELECT {area} AS AREA, count(DISTINCT PSID) FILTER (GESCHLECHT_LABEL = 'Female') AS f,
+                     count(DISTINCT PSID) FILTER (GESCHLECHT_LABEL = 'Male') AS m
+                   FROM {demo} WHERE PLZ <> '' GROUP BY AREA"""
+
+    return f"""
+      SELECT AREA AS PLZ, coalesce(c.f, 0) + coalesce(c.m, 0) + coalesce(r.f, 0) + coalesce(r.m, 0) AS CNT_D_PSID_TOTAL,
+        coalesce(c.f, 0) AS CNT_D_PSID_OI_F, coalesce(c.m, 0) AS CNT_D_PSID_OI_M,
+        coalesce(r.f, 0) AS CNT_D_PSID_REMAIN_F, coalesce(r.m, 0) AS CNT_D_PSID_REMAIN_M
+      FROM ({side("DEMO_CASES")}) c FULL JOIN ({side("DEMO_REST")}) r USING (AREA)"""
+
+
+IN_ANY_CASE_YEAR = "(PSID, VSID, BJAHR) IN (SELECT (PSID, VSID, BJAHR) FROM CASE_YEARS)"
 IN_CASE_YEAR = "(PSID, VSID, BJAHR) IN (SELECT (PSID, VSID, BJAHR) FROM CASES)"
 LEGACY_FOUND = _found(
     "PSID IN (SELECT PSID FROM LEGACY)", "PSID, BJAHR", TRACKED_CODES_SHORT, TRACKED_EXACT_SHORT, ""
@@ -270,6 +296,20 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
             FROM SEVERAL s JOIN VERS v ON s.PSID = v.PSID JOIN VERSQ q ON s.PSID = q.PSID
             WHERE v.GEBJAHR IS NOT NULL AND q.GESCHLECHT IN (1, 2)""",
     ),
+    "demographics_m2m_remaining": (
+        ["SEVERAL_REST"],
+        f"""SELECT DISTINCT r.PSID, r.ICDAMB_CODE, r.BJAHR, v.GEBJAHR, q.GESCHLECHT, {YEAR} - v.GEBJAHR AS ALTER
+            FROM SEVERAL_REST r JOIN VERS v ON r.PSID = v.PSID JOIN VERSQ q ON r.PSID = q.PSID
+            WHERE v.GEBJAHR IS NOT NULL AND q.GESCHLECHT IN (1, 2)""",
+    ),
+    "age_sex_case_control_persons": (
+        ["DEMO_CASES", "DEMO_REST"],
+        """SELECT ICD_CODE, AGE_GROUP AS ALTERSGRUPPE, GESCHLECHT_LABEL, count(DISTINCT PSID) AS CNT_D_PSID
+           FROM (SELECT PSID, ICD_CODE, AGE_GROUP, GESCHLECHT_LABEL FROM DEMO_CASES
+                 UNION ALL SELECT PSID, '!Q780', AGE_GROUP, GESCHLECHT_LABEL FROM DEMO_REST)
+           WHERE AGE_GROUP IS NOT NULL AND GESCHLECHT_LABEL IS NOT NULL
+           GROUP BY ALL""",
+    ),
     "age_sex_case_control": (
         ["DEMO_CASES", "DEMO_REST"],
         """SELECT ICD_CODE, AGE_GROUP AS ALTERSGRUPPE, GESCHLECHT_LABEL, CAST(sum(n) AS BIGINT) AS CNT_D_PSID FROM (
@@ -316,18 +356,8 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
         f"""SELECT substring(PLZ, 1, 2) AS PLZ2, count(DISTINCT PSID) AS CNT_D_PSID
             FROM ({_fixed_year("LEGACY", BANDS_FOUR)}) GROUP BY ALL""",
     ),
-    "plz_case_control": (
-        ["DEMO_CASES", "DEMO_REST"],
-        """SELECT PLZ, coalesce(c.f, 0) + coalesce(c.m, 0) + coalesce(r.f, 0) + coalesce(r.m, 0) AS CNT_D_PSID_TOTAL,
-             coalesce(c.f, 0) AS CNT_D_PSID_OI_F, coalesce(c.m, 0) AS CNT_D_PSID_OI_M,
-             coalesce(r.f, 0) AS CNT_D_PSID_REMAIN_F, coalesce(r.m, 0) AS CNT_D_PSID_REMAIN_M
-           FROM (SELECT PLZ, count(DISTINCT PSID) FILTER (GESCHLECHT_LABEL = 'Female') AS f,
-                   count(DISTINCT PSID) FILTER (GESCHLECHT_LABEL = 'Male') AS m
-                 FROM DEMO_CASES WHERE PLZ <> '' GROUP BY PLZ) c
-           FULL JOIN (SELECT PLZ, count(DISTINCT PSID) FILTER (GESCHLECHT_LABEL = 'Female') AS f,
-                   count(DISTINCT PSID) FILTER (GESCHLECHT_LABEL = 'Male') AS m
-                 FROM DEMO_REST WHERE PLZ <> '' GROUP BY PLZ) r USING (PLZ)""",
-    ),
+    "plz_case_control": (["DEMO_CASES", "DEMO_REST"], _plz_case_control("PLZ")),
+    "plz1_case_control": (["DEMO_CASES", "DEMO_REST"], _plz_case_control("left(PLZ, 1)")),
     "plz_list_by_group": (
         ["LEGACY", "PERSONS", "FIRST_SEX"],
         f"""SELECT ICD_CODE, BJAHR, AGE_GROUP AS ALTERSGRUPPE, GESCHLECHT_LABEL, count(PSID) AS CNT_D_PSID,
@@ -346,6 +376,12 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
             _found(IN_CASE_YEAR, "PSID, VSID, BJAHR", TRACKED_CODES, TRACKED_EXACT, " AND DIAGSICH = 'G'", True)
         ),
     ),
+    "specific_icd_any_case_year": (
+        ["CASE_YEARS", "HOMES", "AGREED"],
+        _occurrence_counts(
+            _found(IN_ANY_CASE_YEAR, "PSID, VSID, BJAHR", TRACKED_CODES, TRACKED_EXACT, " AND DIAGSICH = 'G'")
+        ),
+    ),
     "specific_icd_remaining": (["REST", "HOMES", "AGREED"], _occurrence_counts(REST_FOUND)),
     "specific_icd_all_years": (["LEGACY"], LEGACY_FOUND),
     "specific_icd_left": (
@@ -388,14 +424,8 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
         """SELECT GESCHLECHT, CAST(ceil((ALTER - 5) / 10.0) * 10 AS INT) AS AGE_BIN, count(DISTINCT PSID) AS n
            FROM DIAGNOSED WHERE ALTER IS NOT NULL GROUP BY ALL""",
     ),
-    "dm_sex_share": (
-        ["DIAGNOSED"],
-        """SELECT GESCHLECHT, n, percent,
-             printf('%s' || chr(10) || '%d (%.1f%%)', coalesce(GESCHLECHT, 'NA'), n, percent) AS label
-           FROM (SELECT GESCHLECHT, count(*) AS n,
-                   CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100 AS percent
-                 FROM DIAGNOSED GROUP BY GESCHLECHT)""",
-    ),
+    "dm_sex_share": (["DIAGNOSED"], _sex_share("count(*)")),
+    "dm_sex_share_persons": (["DIAGNOSED"], _sex_share("count(DISTINCT PSID)")),
     "code_list_normalise": (
         [],
         f"SELECT LISTED_CODE, replace(LISTED_CODE, '.', '') AS ICD_CODE FROM ({LISTED})",
@@ -461,13 +491,13 @@ def check_sql() -> dict[str, str]:
     return {name: statement(name) for name in STATEMENTS}
 
 
-def looped_code_report(engine) -> list:
+def looped_code_report(engine, codes) -> list:
     """The code-list report one code at a time, on an engine that holds the claims tables.
 
     For contrast only: every round scans the diagnoses and reduces the master tables again.
     """
     results = []
-    for (code,) in engine.execute("SELECT DISTINCT ICD FROM CLAIM").fetchall():
+    for code in codes:
         engine.execute(
             f"""CREATE OR REPLACE TEMP TABLE MEMBERS AS SELECT PSID, ICD_CODE, min(BJAHR) AS BJAHR FROM (
                   SELECT PSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG

@@ -146,13 +146,13 @@ def remaining_population(c: Claims) -> DataFrame:
 
 @registered
 def remaining_population_rows(c: Claims) -> DataFrame:
-    return op.remaining(c.diagnoses, _legacy_cases(c), confirmed_only=False, key=("PSID",), grain="rows")
+    return op.remaining(c.diagnoses, _legacy_cases(c), confirmed_only=False, key=op.PERSON, grain="rows")
 
 
 @registered
 def remaining_population_outpatient(c: Claims) -> DataFrame:
     members = stage(_several(c), "several")
-    rest = op.remaining(c.outpatient, members, confirmed_only=False, key=("PSID",), grain="distinct")
+    rest = op.remaining(c.outpatient, members, confirmed_only=False, key=op.PERSON, grain="distinct")
     return _outpatient_codes(rest)
 
 
@@ -190,6 +190,12 @@ def demographics_m2m(c: Claims) -> DataFrame:
     return _outpatient_codes(op.paired_demographics(stage(_several(c), "several"), c.vers, c.versq, YEAR, prefilter=True))
 
 
+@registered
+def demographics_m2m_remaining(c: Claims) -> DataFrame:
+    rest = op.remaining(c.outpatient, stage(_several(c), "several"), confirmed_only=False, key=op.PERSON, grain="distinct")
+    return _outpatient_codes(op.paired_demographics(rest, c.vers, c.versq, YEAR))
+
+
 # --- age and sex --------------------------------------------------------------------------
 
 
@@ -199,6 +205,13 @@ def age_sex_case_control(c: Claims) -> DataFrame:
     return op.age_sex_case_control(_case_demographics(c, cases), _rest_demographics(c, cases), f"!{RARE}")
 
 
+@registered
+def age_sex_case_control_persons(c: Claims) -> DataFrame:
+    cases = _cases(c)
+    demo_cases, demo_rest = _case_demographics(c, cases), _rest_demographics(c, cases)
+    return op.age_sex_case_control(demo_cases, demo_rest, f"!{RARE}", measure="persons")
+
+
 @registered
 def age_sex_by_code(c: Claims) -> DataFrame:
     return op.age_sex_distribution(_fixed_year(c, _tracer_cohorts(c), prefilter=True))
@@ -211,7 +224,7 @@ def age_sex_4band(c: Claims) -> DataFrame:
 
 @registered
 def age_sex_4band_remaining(c: Claims) -> DataFrame:
-    rest = op.remaining(c.diagnoses, _legacy_cases(c), confirmed_only=False, key=("PSID",), grain="rows")
+    rest = op.remaining(c.diagnoses, _legacy_cases(c), confirmed_only=False, key=op.PERSON, grain="rows")
     return op.age_sex_distribution(_fixed_year(c, rest, BANDS_FOUR))
 
 
@@ -233,7 +246,7 @@ def age_sex_8band_persons(c: Claims) -> DataFrame:
 @registered
 def age_sex_remaining(c: Claims) -> DataFrame:
     members = stage(_several(c), "several")
-    rest = op.remaining(c.outpatient, members, confirmed_only=False, key=("PSID",), grain="distinct")
+    rest = op.remaining(c.outpatient, members, confirmed_only=False, key=op.PERSON, grain="distinct")
     demo = op.paired_demographics(rest, c.vers, c.versq, YEAR, BANDS_EIGHT)
     return _outpatient_codes(op.age_sex_distribution(demo))
 
@@ -257,6 +270,12 @@ def plz_case_control(c: Claims) -> DataFrame:
     return op.plz_case_control(_case_demographics(c, cases), _rest_demographics(c, cases))
 
 
+@registered
+def plz1_case_control(c: Claims) -> DataFrame:
+    cases = _cases(c)
+    return op.plz_case_control(_case_demographics(c, cases), _rest_demographics(c, cases), digits=1)
+
+
 @registered
 def plz_list_by_group(c: Claims) -> DataFrame:
     demo = _fixed_year(c, _legacy_cases(c), BANDS_FOUR, prefilter=True)
@@ -283,6 +302,14 @@ def specific_icd_rd_legacy(c: Claims) -> DataFrame:
     return _occurrence_rd(c, legacy_precedence=True)
 
 
+@registered
+def specific_icd_any_case_year(c: Claims) -> DataFrame:
+    """Tracked codes in every year with the disease, not only the first."""
+    every_year = _cases(c, grain="distinct")
+    found = op.code_occurrence(c.diagnoses, every_year, link="same_year")
+    return op.occurrence_age_sex(found, op.profiles(c.vers, c.versq, op.REST_RULES, every_year))
+
+
 @registered
 def specific_icd_remaining(c: Claims) -> DataFrame:
     found = op.code_occurrence(op.remaining(c.diagnoses, _cases(c)))
@@ -382,6 +409,11 @@ def dm_sex_share(c: Claims) -> DataFrame:
     return op.sex_share(_diagnosed(c, RARE))
 
 
+@registered
+def dm_sex_share_persons(c: Claims) -> DataFrame:
+    return op.sex_share(_diagnosed(c, RARE), dedupe=True)
+
+
 # --- code lists, inspection, dictionary ---------------------------------------------------
 
 

@@ -74,10 +74,13 @@ def cohort_for_list(
 ) -> DataFrame:
     """One cohort per code of a code list, all in one pass over the diagnoses.
 
-    The list is joined by equality; Catalyst broadcasts it when its size allows.
+    A list that is small enough to broadcast filters the scan, below the aggregation; a
+    larger one meets rows that are reduced already.
     """
     events = diagnoses.filter(is_confirmed()) if confirmed_only else diagnoses
-    return _reduce(for_persons(events, code_list, ["ICD_CODE"]), key, grain)
+    listed = code_list.select("ICD_CODE")
+    reduced = _reduce(events, key, grain)
+    return reduced.join(listed, "ICD_CODE", "left_semi").select(*reduced.columns)
 
 
 def cohort_size(members: DataFrame) -> DataFrame:
@@ -104,7 +107,8 @@ def remaining(
     Catalyst moves the anti-join below the aggregation; otherwise only reduced rows move.
     """
     events = diagnoses.filter(is_confirmed()) if confirmed_only else diagnoses
-    return _reduce(events, key, grain).join(members.select("PSID"), "PSID", "left_anti")
+    reduced = _reduce(events, key, grain)
+    return reduced.join(members.select("PSID"), "PSID", "left_anti").select(*reduced.columns)
 
 
 def contract_years(members: DataFrame) -> DataFrame:

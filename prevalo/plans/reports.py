@@ -97,7 +97,7 @@ def fixed_year_report(
     rules = op.fixed_year_rules(reference_year, BANDS_FOUR)
     profile = stage(op.profiles(claims.vers, claims.versq, rules), "profiles")
     demo_cases = stage(op.describe(cases, profile, rules), "demographics-cases")
-    rest = op.remaining(claims.diagnoses, cases, confirmed_only=False, key=("PSID",), grain="rows")
+    rest = op.remaining(claims.diagnoses, cases, confirmed_only=False, key=op.PERSON, grain="rows")
     found = op.code_occurrence(
         claims.diagnoses.drop("VSID"),
         cases,
@@ -139,7 +139,7 @@ def multi_code_report(
     else:
         rules = op.fixed_year_rules(reference_year, BANDS_EIGHT)
         demo = op.demographics(members, vers, versq, rules, prefilter=True)
-    rest = op.remaining(claims.outpatient, members, confirmed_only=False, key=("PSID",), grain="distinct")
+    rest = op.remaining(claims.outpatient, members, confirmed_only=False, key=op.PERSON, grain="distinct")
     demo_rest = op.paired_demographics(rest, vers, versq, reference_year, BANDS_EIGHT)
     spark = members.sparkSession
     return {

@@ -16,17 +16,21 @@ from prevalo.schemas import claims_schemas
 
 @dataclass(frozen=True)
 class Claims:
-    """Claims tables as DataFrames, wherever they come from. Missing tables are None."""
+    """Claims tables as DataFrames, wherever they come from. Missing tables are None.
+
+    ``unified`` is for sources that hold both kinds of diagnoses in one table already.
+    """
 
     ambdiag: DataFrame | None
     vers: DataFrame | None
     versq: DataFrame | None
     khdiag: DataFrame | None = None
+    unified: DataFrame | None = None
 
     @cached_property
     def diagnoses(self) -> DataFrame:
         """Outpatient and inpatient diagnoses in one shape."""
-        return unified_diagnoses(self.ambdiag, self.khdiag)
+        return unified_diagnoses(self.ambdiag, self.khdiag) if self.unified is None else self.unified
 
     @cached_property
     def outpatient(self) -> DataFrame:
