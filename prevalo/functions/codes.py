@@ -7,8 +7,9 @@ from itertools import groupby
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Up to this many prefixes are written as StartsWith tests, which Parquet can push down.
-PUSHED_PREFIXES = 64
+# Up to this many prefixes are written as StartsWith tests, which Parquet can push down; a
+# longer list hardly skips any file block.
+PUSHED_PREFIXES = 8
 
 
 def normalise_code(code: Column) -> Column:

@@ -6,6 +6,7 @@ from prevalo.plans.reports import (
     multi_code_report,
     single_code_report,
     tracer_report,
+    write_report,
 )
 from prevalo.plans.settings import label_years, result_folder
 
@@ -17,4 +18,5 @@ __all__ = [
     "result_folder",
     "single_code_report",
     "tracer_report",
+    "write_report",
 ]

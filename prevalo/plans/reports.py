@@ -8,6 +8,7 @@ in reduced form, one row per person, contract and code.
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from prevalo import operators as op
 from prevalo.constants import (
@@ -21,10 +22,30 @@ from prevalo.constants import (
 )
 from prevalo.functions import normalise_codes
 from prevalo.plans.settings import label_years
-from prevalo.sources import Claims, code_frame, stage
+from prevalo.sources import Claims, code_frame, stage, write_result
 
 Report = dict[str, DataFrame]
 
+# Columns that order a written result; a leading minus sorts descending.
+ORDERINGS = {
+    "ALL_age_sex_dist": ("ICD_CODE", "BJAHR", "ALTERSGRUPPE", "GESCHLECHT_LABEL"),
+    "ALL_plz_dist": ("ICD_CODE", "-CNT_D_PSID", "PLZ"),
+    "RT_COMORBIDITIES": ("ICDAMB_CODE_BASE", "BJAHR", "RN", "ICDAMB_CODE_COMORBID"),
+    "RT_PLZ_OI_NON_OI_SEX": ("-CNT_D_PSID_TOTAL", "PLZ"),
+    "RT_RD_PLZ_GROUPED": ("-CNT_D_PSID", "PLZ2"),
+    "RT_SPECIFIC_ICD_AGE_SEX_DIST": ("ICD_GROUP", "GESCHLECHT_LABEL", "AGE_GROUP"),
+    "RT_SPECIFIC_ICD_AGE_SEX_DIST_REMAIN": ("ICD_GROUP", "GESCHLECHT_LABEL", "AGE_GROUP"),
+    "top20_comorbidities": ("-n", "ICDAMB_CODE"),
+    "top_codes": ("ICD_codes",),
+}
+
+
+def write_report(report: Report, root: str, fmt: str = "csv", single_file: bool = False) -> None:
+    """Write every table of a report under ``root``, in the order readers expect."""
+    for name, table in report.items():
+        ordering = [F.desc(c[1:]) if c.startswith("-") else c for c in ORDERINGS.get(name, ())]
+        write_result(table, f"{root}/{name}", fmt, order_by=ordering, single_file=single_file)
+
 
 def _outpatient(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("ICD_CODE", "ICDAMB_CODE")
@@ -63,7 +84,7 @@ def case_control_report(
     cases = stage(op.cohort(claims.diagnoses, code, **base), "cases")
     rest = stage(op.remaining(claims.diagnoses, cases), "rest")
     profile = stage(op.profiles(claims.vers, claims.versq, op.REST_RULES), "profiles")
-    demo_cases = stage(op.describe(cases, profile, op.CASE_RULES), "demographics-cases")
+    demo_cases = op.describe(cases, profile, op.CASE_RULES)
     demo_rest = stage(op.describe(op.contract_years(rest), profile, op.REST_RULES), "demographics-rest")
 
     if link == "first_year":
@@ -96,7 +117,7 @@ def fixed_year_report(
     cases = stage(op.cohort(claims.diagnoses, code, exact=exact, confirmed_only=False, grain="per_source"), "cases")
     rules = op.fixed_year_rules(reference_year, BANDS_FOUR)
     profile = stage(op.profiles(claims.vers, claims.versq, rules), "profiles")
-    demo_cases = stage(op.describe(cases, profile, rules), "demographics-cases")
+    demo_cases = op.describe(cases, profile, rules)
     rest = op.remaining(claims.diagnoses, cases, confirmed_only=False, key=op.PERSON, grain="rows")
     found = op.code_occurrence(
         claims.diagnoses.drop("VSID"),

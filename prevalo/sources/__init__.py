@@ -2,7 +2,7 @@
 
 from prevalo.sources.claims import Claims, read_claims, read_claims_tables, store_claims
 from prevalo.sources.code_list import code_frame, read_code_list
-from prevalo.sources.results import write_result, write_results
+from prevalo.sources.results import write_result
 from prevalo.sources.staging import stage
 
 __all__ = [
@@ -14,5 +14,4 @@ __all__ = [
     "stage",
     "store_claims",
     "write_result",
-    "write_results",
 ]

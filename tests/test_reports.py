@@ -12,8 +12,9 @@ from prevalo.plans import (
     multi_code_report,
     single_code_report,
     tracer_report,
+    write_report,
 )
-from prevalo.sources import store_claims, write_results
+from prevalo.sources import store_claims
 from tests.conftest import rows
 from tests.test_differential import SF_DIR
 
@@ -82,10 +83,17 @@ def test_multi_code_report(c, tmp_path):
     )
     older = multi_code_report(c, registry.SEVERAL, registry.YEAR, every_master_row=True)
     assert_same(older, RT_AGE_SEX_DIST=q["age_sex_8band_persons"](c))
-    write_results(report, str(tmp_path), "csv")
+    write_report(report, str(tmp_path))
     assert {p.name for p in tmp_path.iterdir()} == set(report)
 
 
+def test_written_postcodes_start_with_the_largest(c, spark, tmp_path):
+    write_report(fixed_year_report(c, "Q780", registry.YEAR), str(tmp_path), single_file=True)
+    (part,) = (tmp_path / "RT_RD_PLZ_GROUPED").glob("*.csv")
+    counts = [int(line.rsplit(",", 1)[1]) for line in part.read_text().splitlines()[1:]]
+    assert len(counts) > 1 and counts == sorted(counts, reverse=True)
+
+
 def test_single_code_report(c):
     q = registry.QUERIES
     labels = registry._labels(c).selectExpr("year + 20 AS year", "icd_sub", "label")

@@ -110,7 +110,7 @@ def test_results_replace_each_other(spark, tmp_path):
 
 def test_csv_results_are_sorted_with_a_header(spark, tmp_path):
     df = spark.createDataFrame([("b", 1), ("a", 2)], "code string, n long")
-    sources.write_results({"RT": df}, str(tmp_path), "csv", order_by=["code"], single_file=True)
+    sources.write_result(df, str(tmp_path / "RT"), "csv", order_by=["code"], single_file=True)
     (part,) = (tmp_path / "RT").glob("*.csv")
     assert part.read_text() == "code,n\na,2\nb,1\n"
 
