@@ -44,13 +44,12 @@ def _several(c: Claims, **options) -> DataFrame:
     return op.cohort(c.outpatient, SEVERAL, **options)
 
 
-def _case_demographics(c: Claims, cases: DataFrame) -> DataFrame:
-    return op.demographics(cases, c.vers, c.versq, op.CASE_RULES, prefilter=True)
-
-
-def _rest_demographics(c: Claims, cases: DataFrame) -> DataFrame:
+def _case_control(c: Claims) -> tuple[DataFrame, DataFrame]:
+    """Demographics of cases and rest from one set of profiles, whose shuffles are reused."""
+    cases = _cases(c)
+    profile = op.profiles(c.vers, c.versq, op.REST_RULES)
     years = op.contract_years(op.remaining(c.diagnoses, cases))
-    return op.demographics(years, c.vers, c.versq, op.REST_RULES)
+    return op.describe(cases, profile, op.CASE_RULES), op.describe(years, profile, op.REST_RULES)
 
 
 def _fixed_year(c: Claims, members: DataFrame, *bands, prefilter: bool = False) -> DataFrame:
@@ -171,7 +170,7 @@ def first_sex_row(c: Claims) -> DataFrame:
 
 @registered
 def demographics_rd(c: Claims) -> DataFrame:
-    return _case_demographics(c, _cases(c))
+    return op.demographics(_cases(c), c.vers, c.versq, op.CASE_RULES, prefilter=True)
 
 
 @registered
@@ -201,15 +200,12 @@ def demographics_m2m_remaining(c: Claims) -> DataFrame:
 
 @registered
 def age_sex_case_control(c: Claims) -> DataFrame:
-    cases = _cases(c)
-    return op.age_sex_case_control(_case_demographics(c, cases), _rest_demographics(c, cases), f"!{RARE}")
+    return op.age_sex_case_control(*_case_control(c), f"!{RARE}")
 
 
 @registered
 def age_sex_case_control_persons(c: Claims) -> DataFrame:
-    cases = _cases(c)
-    demo_cases, demo_rest = _case_demographics(c, cases), _rest_demographics(c, cases)
-    return op.age_sex_case_control(demo_cases, demo_rest, f"!{RARE}", measure="persons")
+    return op.age_sex_case_control(*_case_control(c), f"!{RARE}", measure="persons")
 
 
 @registered
@@ -266,14 +262,12 @@ def plz2_dist(c: Claims) -> DataFrame:
 
 @registered
 def plz_case_control(c: Claims) -> DataFrame:
-    cases = _cases(c)
-    return op.plz_case_control(_case_demographics(c, cases), _rest_demographics(c, cases))
+    return op.plz_case_control(*_case_control(c))
 
 
 @registered
 def plz1_case_control(c: Claims) -> DataFrame:
-    cases = _cases(c)
-    return op.plz_case_control(_case_demographics(c, cases), _rest_demographics(c, cases), digits=1)
+    return op.plz_case_control(*_case_control(c), digits=1)
 
 
 @registered
