@@ -17,6 +17,10 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back.
 
@@ -25,6 +29,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     table when it is below ``spark.sql.autoBroadcastJoinThreshold`` (and then filters
     before aggregating) and shuffles otherwise. No hint is needed.
     """
-    path = f"{staging_root(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this session has staged. Results that were not written yet are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,3 +1,7 @@
+from pathlib import Path
+from types import SimpleNamespace
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 
@@ -58,6 +62,14 @@ def test_stored_claims_read_back(spark, folder, tmp_path_factory):
         assert rows(getattr(stored, name)) == rows(getattr(again, name)) == rows(getattr(given, name))
 
 
+def test_stored_diagnoses_are_ordered_by_code_within_files(spark, claims, tmp_path):
+    c = claims(amb=[(p, 1, 2015, f"{chr(90 - p % 26)}00", "G") for p in range(200)])
+    sources.store_claims(c, str(tmp_path))
+    for part in (tmp_path / "AMBDIAG.parquet").glob("*.parquet"):
+        codes = pq.read_table(part).column("ICDAMB_CODE").to_pylist()
+        assert codes == sorted(codes)
+
+
 def test_views_and_catalogue_tables(spark, folder):
     c = sources.read_claims(spark, str(folder))
     c.register_views()
@@ -120,3 +132,21 @@ def test_staging_uses_the_folder_of_the_session(spark):
     staged = sources.stage(spark.range(5).toDF("PSID"), "five")
     assert staged.count() == 5
     assert all(staging_root(spark) in f for f in staged.inputFiles())
+
+
+def test_staged_tables_can_be_cleared(spark):
+    staged = sources.stage(spark.range(5).toDF("PSID"), "five")
+    (folder,) = {Path(f.removeprefix("file://")).parent for f in staged.inputFiles()}
+    assert folder.exists()
+    sources.clear_staged(spark)
+    assert not folder.exists()
+    assert sources.stage(spark.range(3), "three").count() == 3
+
+
+def test_staging_needs_a_shared_folder_outside_local_mode():
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging_root(cluster)
