@@ -48,8 +48,8 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
     lines, parts = table("lineitem"), table("part").selectExpr("p_partkey AS l_partkey", "p_size")
     diagnoses = (
         lines.filter("l_linestatus IN ('O', 'F')")
+        .join(parts, "l_partkey")  # first, as a filter on the code is a filter on the parts
         .join(contacts, "l_orderkey")
-        .join(parts, "l_partkey")
         .selectExpr(
             "PSID",
             "VSID",
@@ -68,7 +68,8 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
         "PSID", "VSID", "BJAHR", "ICD_CODE AS ICDKH_CODE", "SEK_CODE AS SEKICD_CODE"
     )
 
-    known = lines.join(parts, "l_partkey", "left_semi").select("l_orderkey")
+    # Distinct first: a contact with very many lines is one row when it meets its semi-join.
+    known = lines.join(parts, "l_partkey", "left_semi").select("l_orderkey").distinct()
     used = contacts.join(known, "l_orderkey", "left_semi")
     vers = (
         used.select("PSID", "VSID", "BJAHR")

@@ -26,7 +26,8 @@ def data():
 
     amb = [(*entry(), draw.choice(CODES), draw.choice("GV")) for _ in range(1500)]
     kh = [(*entry(), draw.choice(CODES), draw.choice([None, *CODES])) for _ in range(700)]
-    vers = [(*entry()[:2], draw.choice([None, 1950, 1980, 2005]), draw.choice([None, "", "01067", "99"])) for _ in range(300)]
+    births, areas = [None, 1950, 1980, 2005], [None, "", "01067", "99"]
+    vers = [(*entry()[:2], draw.choice(births), draw.choice(areas)) for _ in range(300)]
     versq = [(*entry()[:2], draw.randint(20151, 20159), draw.choice([None, 0, 1, 2, 2])) for _ in range(300)]
     return amb, kh, vers, versq
 
