@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import bpe, mixing
-from prevalo.llm.common import table
+from prevalo.llm import bpe, chat, mixing, sharding
+from prevalo.llm.common import python_workers, table
 
 
 def tokenizer_path() -> str:
@@ -64,5 +68,55 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-LLM_QUERIES = {"op3_bpe": op3_bpe, "op6_mixing": op6_mixing}
-LLM_SQL = {"op6_mixing": OP6_SQL}
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary"))
+    return sharding.shard(docs).select(
+        "doc.doc_id", "placed.size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "placed.shard", "placed.slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for conv, text, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            turns = chat.parse(text)
+            learnt = chat.masked(text, [(x["start"], x["stop"]) for x in loss])
+            digest = hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode()).hexdigest()
+            rows.append((conv, len(turns), digest, len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)))
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = [c.split()[0] for c in DIGESTS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    formatted = chat.format_events(chat.events_of_turns(turns.union(extra)))
+    python_workers(spark)
+    return formatted.mapInArrow(_read_back, DIGESTS)
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(16 + length(role) + length(regexp_replace(role, '[^\\<>#]', '', 'g'))
+    + length(text) + length(regexp_replace(text, '[^\\<>#]', '', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+LLM_QUERIES = {"op3_bpe": op3_bpe, "op6_mixing": op6_mixing, "op8_sharding": op8_sharding, "op9_chat": op9_chat}
+LLM_SQL = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
