@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import bpe, chat, mixing, sharding
+from prevalo.llm import bpe, chat, language, mixing, quality_rules, sharding
 from prevalo.llm.common import python_workers, table
 
 
@@ -27,6 +27,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    stats = [F.col(f"stats.{c}") for c in quality_rules.STATS]
+    return judged.select("doc.doc_id", *stats, "base_failed", "kept")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    profiles = language.learn(docs.where(~out))
+    guessed = language.predict(docs.select("doc_id", "text", out.alias("held_out")), profiles)
+    return guessed.select("doc_id", "held_out", F.col("predicted.lang").alias("lang_pred"), "predicted.score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.sized(table(spark, sf_dir, "documents"))
     taken = mixing.with_copies(rows, mixing.mixing_plan(rows))
@@ -118,5 +132,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-LLM_QUERIES = {"op3_bpe": op3_bpe, "op6_mixing": op6_mixing, "op8_sharding": op8_sharding, "op9_chat": op9_chat}
+LLM_QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language": op5_language,
+    "op6_mixing": op6_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_chat": op9_chat,
+}
 LLM_SQL = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
