@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import bpe, chat, language, mixing, quality_rules, sharding
+from prevalo.llm import bpe, chat, language, mixing, quality_model, quality_rules, sharding
 from prevalo.llm.common import python_workers, table
 
 
@@ -83,6 +83,14 @@ FROM placed
 """
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    field = quality_model.learn(docs, labels.where(~language.held_out(F.col("doc_id"), 5, 0)))
+    scored = quality_model.score(docs.withColumn("held_out", language.held_out(F.col("doc_id"), 5, 0)), field)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary"))
@@ -137,6 +145,7 @@ LLM_QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op7_quality_model": op7_quality_model,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
 }
