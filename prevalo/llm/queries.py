@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import bpe, chat, language, mixing, quality_model, quality_rules, sharding
+from prevalo.llm import bpe, chat, language, mixing, quality_model, quality_rules, sharding, simhash
 from prevalo.llm.common import python_workers, table
 
 
@@ -23,6 +23,12 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return bpe.round_trip(docs.select("doc_id", "text"), tokenizer_path()).select("doc_id", "bpe.*")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    bits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
+    return classes.select("doc.doc_id", bits, "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -141,6 +147,7 @@ FROM turns GROUP BY conv_id
 """
 
 LLM_QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_language": op5_language,
