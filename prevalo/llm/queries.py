@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import bpe, chat, language, mixing, quality_model, quality_rules, sharding, simhash
+from prevalo.llm import bpe, chat, language, mixing, neighbours, quality_model, quality_rules, sharding, simhash
 from prevalo.llm.common import python_workers, table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     return bpe.round_trip(docs.select("doc_id", "text"), tokenizer_path()).select("doc_id", "bpe.*")
 
@@ -148,6 +152,7 @@ FROM turns GROUP BY conv_id
 
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_neighbours": op2_neighbours,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_language": op5_language,
