@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import bpe, chat, language, mixing, neighbours, quality_model, quality_rules, sharding, simhash
+from prevalo.llm import bpe, chat, language, mixing, neighbours, quality_model, quality_rules, repeats, sharding, simhash
 from prevalo.llm.common import python_workers, table
 
 
@@ -136,6 +136,15 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(_read_back, DIGESTS)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select(
+        "doc.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 OP9_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -160,5 +169,6 @@ LLM_QUERIES = {
     "op7_quality_model": op7_quality_model,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_repeats": op10_repeats,
 }
 LLM_SQL = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
