@@ -27,13 +27,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from prevalo.llm.common import python_workers
+from prevalo.llm.common import WORD, python_workers
 from prevalo.llm.suffixes import Hashed, sort_suffixes
 
 SPAN, GRAM = 50, 24
@@ -299,3 +301,20 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
     schema = to_arrow_schema(spark.createDataFrame([], result).schema)
     answers = shared.unionByName(classes)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(buckets, schema), result)
+
+
+@F.pandas_udf(T.StringType())
+def _readable(kept: pd.Series) -> pd.Series:
+    return pd.Series([k.decode("utf-8", "ignore") for k in kept], dtype=object)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Documents without their repeated passages; those of which no word is left go. A character of which
+    a byte is removed goes as a whole. ``n_chars``, if there is one, follows the text; a text that loses nothing stays as it is."""
+    others = tuple(c for c in docs.columns if c != "text")
+    kept = F.when(F.col("n_bytes") > 0, _readable("kept"))
+    left = remove_repeats(docs.withColumn("null_text", F.col("text").isNull()), (*others, "null_text"))
+    left = left.withColumn("text", F.when(~F.col("doc.null_text"), F.coalesce(kept, F.lit("")))).where((F.size("spans") == 0) | F.col("text").rlike(WORD))
+    length = F.when(F.size("spans") > 0, F.length("text").cast("bigint"))
+    columns = [F.col("text") if c == "text" else F.coalesce(length, F.col("doc.n_chars")).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in docs.columns]
+    return left.select(*columns)
