@@ -239,10 +239,14 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest id; of rows with that id, one."""
-    classes = near_duplicates(docs)
-    own = classes.where(F.col("doc.doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count("*").alias("rows"))
-    own = stage(own, "kept")
-    kept = docs.join(own, docs["doc_id"].eqNullSafe(own["component_id"])).drop("component_id")
-    many = kept.where(F.col("rows") > 1).dropDuplicates(["doc_id"])
-    return kept.where(F.col("rows") == 1).unionByName(many).select(*docs.columns)
+    """One document of each class, the one with the smallest id; of rows with that id, one. Classes
+    in which no row has an id keep one row for each distinct text."""
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    classes = near_duplicates(docs.withColumn("__digest", digest), ("doc_id", "__digest")).select("doc.*", "component_id")
+    own = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__digest")).alias("t"))
+    own = stage(own.agg(F.min("__digest").alias("digest"), F.count("*").alias("rows")), "kept")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), digest.alias("own"))
+    kept = whole.join(own, F.col("id").eqNullSafe(F.col("component_id")) & (F.col("own") == F.col("digest")))
+    many = kept.where(F.col("rows") > 1).dropDuplicates(["id", "own"])
+    return kept.where(F.col("rows") == 1).unionByName(many).select("doc.*")

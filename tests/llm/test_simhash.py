@@ -1,0 +1,118 @@
+import random
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from prevalo.llm import simhash
+from prevalo.llm.components import components
+
+
+def plain_fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_classes(rows):
+    """component of each (id, fingerprint) by union of all pairs."""
+    rows = list(rows)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            if bin(a ^ rows[j][1]).count("1") <= 2:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def test_fingerprint_equals_the_plain_one(monkeypatch):
+    rng = random.Random(1)
+    texts = [None, "", " \t\n", "One", "one TWO", "É É a", "a b c", "x" * 5000]
+    texts += [" ".join(rng.choice("a B c dd ÀB".split()) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    for t in texts:
+        assert simhash.fingerprint(None if t is None else t.encode()) == plain_fingerprint(t)
+
+
+def test_spark_hashes_the_same(spark):
+    got = spark.sql("select xxhash64('a b c') as h").first().h
+    assert got % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_index_finds_all_within_two_bits():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (3, 900)).astype(np.uint64)
+    codes = np.unique(np.concatenate([base, rng.choice(base, 900) ^ flips[0] ^ flips[1], rng.choice(base, 900) ^ flips[0] ^ flips[2]]))
+    index = simhash.GrayIndex(codes)
+    assert (np.diff(simhash.gray_rank(index.codes).astype(object)) > 0).all()
+    query, place = index.near(codes)
+    want = {(a, b) for a in range(len(codes)) for b in np.flatnonzero(np.bitwise_count(codes ^ codes[a]) <= 2)}
+    assert {(a, int(np.searchsorted(codes, index.codes[p]))) for a, p in zip(query.tolist(), place, strict=True)} == want
+
+
+def test_gray_ranks_follow_the_sequence():
+    n = np.arange(64, dtype=np.uint64)
+    assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+
+
+def test_masks_of_a_division_cover_the_open_bits():
+    top = simhash.divided(0)
+    assert [bin(m).count("1") for m in top] == [21, 21, 22] and sum(top) == (1 << 64) - 1
+    for m in top:
+        kids = simhash.divided(m)
+        assert all(k & m == m for k in kids) and kids[0] | kids[1] | kids[2] == (1 << 64) - 1
+
+
+def test_crowded_nodes_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    centre = np.uint64(0xDEADBEEF12345678)
+    flips = np.uint64(1) << rng.integers(0, 64, (4, 250)).astype(np.uint64)
+    codes = np.unique(np.concatenate([[centre], centre ^ flips[0], centre ^ flips[0] ^ flips[1], centre ^ flips[0] ^ flips[1] ^ flips[2] ^ flips[3]]))
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
+    got = {r.node: r.root for r in components(simhash.links(df, crowd=40)).collect()}
+    signed = codes.view(np.int64).tolist()
+    want = plain_classes([(c, c % (1 << 64)) for c in signed])
+    assert [got.get(c, c) for c in signed] == want
+
+
+def test_classes_with_nulls_repeats_and_clashing_names(spark, documents):
+    rng = random.Random(4)
+    base = [" ".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(6)]
+    rows = [(i, rng.choice(base) + rng.choice(["", " x", " y z"])) for i in range(40)]
+    rows += [(50, None), (49, ""), (51, "  "), (52, "one"), (52, "one"), (None, "one"), (None, "never seen before"), (60, "w " * 30000)]
+    df = documents(rows).withColumns({"fingerprint": F.lit("x"), "component_id": F.lit(0), "code": F.lit(1), "id": F.lit(2)})
+    got = simhash.near_duplicates(df, keep=("doc_id", "text", "fingerprint")).collect()
+    plain = [(i, plain_fingerprint(t)) for i, t in rows]
+    want = sorted(zip(rows, [f for _, f in plain], plain_classes(plain), strict=True), key=str)
+    assert sorted([((r.doc.doc_id, r.doc.text), r.fingerprint % (1 << 64), r.component_id) for r in got], key=str) == want
+    kept = simhash.first_of_each(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert len(ids) == len({c for _, _, c in want}) and 49 in ids and 50 not in ids and ids.count(52) == 1
+
+
+def test_empty_table(documents):
+    assert simhash.near_duplicates(documents([])).count() == 0
+
+
+def test_long_chains_are_one_component(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
