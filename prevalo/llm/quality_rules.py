@@ -41,6 +41,8 @@ COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in (*STATS, "n_lines
 VECTOR = ("length", "word_length", "symbols", "dup_lines", "repeats")
 FLOOR = (0.6, 0.5, 0.05, 0.2, 0.1)
 CENTRAL, STEPS, LEAST = 0.75, 4, 50
+#: Parts that a cell's rows are dealt into where they meet the cell's estimate.
+PARTS = 32
 #: Scatter of a five-dimensional normal over that of its central three quarters.
 CONSISTENT = 1.412
 #: A squared distance that one of a million rows with five normal statistics exceeds.
@@ -139,21 +141,29 @@ def distance(mean: str = "mean", inverse: str = "inverse") -> Column:
     return sum(terms[1:], terms[0])
 
 
+def _each_part(table: DataFrame) -> DataFrame:
+    return table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def fit(rows: DataFrame, cell: str = "cell") -> DataFrame:
-    """(cell, mean, inverse): the robust estimate for each cell, by concentration steps over all its rows."""
+    """(cell, mean, inverse): the robust estimate for each cell, by concentration steps over all its rows.
+
+    Rows meet estimates by cell and part, so that totals by cell are partial sums first and a large cell is many tasks' work.
+    """
     python_workers(rows.sparkSession)
+    rows = stage(rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "rows")
     middle = [F.percentile_approx(v, 0.5, 10000).alias(f"m_{v}") for v in VECTOR]
     centre = rows.groupBy(cell).agg(*middle, F.count("*").alias("n"))
     spread = [F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5, 10000).alias(f"s_{v}") for v in VECTOR]
-    start = rows.join(centre, cell).groupBy(cell, "n", *[f"m_{v}" for v in VECTOR]).agg(*spread)
+    start = rows.join(_each_part(centre), [cell, "part"]).groupBy(cell, "n", *[f"m_{v}" for v in VECTOR]).agg(*spread)
     k = len(VECTOR)
     scale = [F.lit(1.0) / (F.pow(1.4826 * F.col(f"s_{v}"), 2) + F.lit(f * f)) for v, f in zip(VECTOR, FLOOR, strict=True)]
     inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(k) for j in range(k)])
     model = stage(start.select(cell, F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), inverse.alias("inverse")), "mcd")
     for _ in range(STEPS):
-        near = rows.join(model, cell).withColumn("d", distance())
+        near = rows.join(_each_part(model), [cell, "part"]).withColumn("d", distance())
         edge = near.groupBy(cell).agg(F.percentile_approx("d", CENTRAL, 10000).alias("edge"))
-        chosen = near.join(edge, cell).where(F.col("d") <= F.col("edge"))
+        chosen = near.join(_each_part(edge), [cell, "part"]).where(F.col("d") <= F.col("edge"))
         new = chosen.groupBy(cell).agg(*_estimate()).withColumn("inverse", _inverse("mean", "products"))
         model = stage(new.select(cell, "mean", "inverse"), "mcd")
     return model
