@@ -102,10 +102,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    crc = F.crc32(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary"))
-    return sharding.shard(docs).select(
-        "doc.doc_id", "placed.size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "placed.shard", "placed.slot",
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", crc.alias("text_crc32"))
+    return sharding.shard(docs, keep=("doc_id", "text_crc32")).select(
+        "doc.doc_id", "placed.size", "doc.text_crc32", F.lit("bytes").alias("law"), "placed.shard", "placed.slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,13 +76,14 @@ def shard(
     shards: int = SHARDS,
     key: Column | None = None,
     size: Column | None = None,
+    keep: tuple[str, ...] | None = None,
     vnodes: int = VNODES,
     epsilon: float = EPSILON,
     out: str = "placed",
 ) -> DataFrame:
-    """(doc, placed): the columns of docs as a struct, and size, key_hash, shard and slot of each row.
+    """(doc, placed): the columns of docs (those in ``keep``) as a struct, and size, shard and slot of each row.
 
-    ``key`` keeps rows together (default: the text), ``size`` is what the bound holds for.
+    ``key`` keeps rows together (default: the text), ``size`` is what the bound holds for. What is kept is shuffled once, for the slots.
     """
     spark = docs.sparkSession
     bytes_ = F.coalesce(F.octet_length("text").cast("bigint"), F.lit(0).cast("bigint"))
@@ -91,7 +93,7 @@ def shard(
     cell = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") * CELLS / (1 << 32)
     row = F.xxhash64(F.lit(7), "doc_id", F.lit("/"), key)
     own = [size.alias("size"), F.floor(cell).cast("int").alias("cell"), row.alias("row")]
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), *own)
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("doc"), F.col("doc_id").alias("id"), *own)
 
     # At most CELLS rows, of which fewer than HEAVY are heavy.
     total = rows.groupBy("cell").agg(F.sum("size").alias("bytes")).toPandas()
@@ -100,9 +102,9 @@ def shard(
     rows = rows.join(F.broadcast(heavy), "cell", "left")
     rows = rows.withColumn("piece", F.when(F.col("heavy"), F.pmod("row", F.lit(PIECES))).otherwise(0).cast("int")).drop("heavy")
     units = rows.groupBy("cell", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    found: list[Unit] = sorted(tuple(u) for u in units.toPandas().itertuples(index=False))
-    placed = pd.DataFrame(found, columns=["cell", "piece", "bytes", "n"])
-    placed["shard"] = place(found, shards, vnodes, epsilon)
+    found: list[Unit] = sorted(tuple(map(int, u)) for u in units.toPandas().itertuples(index=False))
+    placed = pd.DataFrame(found, columns=["cell", "piece", "bytes", "n"], dtype="int64")
+    placed["shard"] = np.array(place(found, shards, vnodes, epsilon), np.int64)
     placed["offset"] = placed.groupby("shard")["n"].cumsum() - placed["n"]
     schema = "cell int, piece int, shard int, offset long"
     plan = spark.createDataFrame(placed[["cell", "piece", "shard", "offset"]].values.tolist(), schema)
