@@ -4,11 +4,7 @@ Orders become contacts of a person, line items their diagnoses; the open lines a
 outpatient, the finished ones inpatient.
 """
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
 from prevalo.constants import INPATIENT, OUTPATIENT
 from prevalo.sources import Claims
 
@@ -21,12 +17,6 @@ CODES = (
 )
 
 
-@cache
-def _schema(spark: SparkSession, path: str) -> StructType:
-    """Schema of a parquet table, read from its footer once per session."""
-    return spark.read.parquet(path).schema
-
-
 def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
     """AMBDIAG, KHDIAG, VERS and VERSQ as lazy frames over the parquet tables.
 
@@ -35,8 +25,7 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
     """
 
     def table(name: str) -> DataFrame:
-        path = f"{sf_dir}/{name}.parquet"
-        return spark.read.schema(_schema(spark, path)).parquet(path)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     contacts = table("orders").selectExpr(
         "o_orderkey AS l_orderkey",
@@ -47,8 +36,7 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
     )
     lines, parts = table("lineitem"), table("part").selectExpr("p_partkey AS l_partkey", "p_size")
     diagnoses = (
-        lines.filter("l_linestatus IN ('O', 'F')")
-        .join(parts, "l_partkey")  # first, as a filter on the code is a filter on the parts
+        lines.join(parts, "l_partkey")  # first, as a filter on the code is a filter on the parts
         .join(contacts, "l_orderkey")
         .selectExpr(
             "PSID",
@@ -58,7 +46,7 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
             f"IF(l_linestatus = 'F' AND l_linenumber % 3 = 0, split_part('{CODES}', ',', p_size * 3 % 50 + 1), NULL)"
             " AS SEK_CODE",
             "IF(l_linestatus = 'O', IF(l_returnflag IN ('A', 'R'), 'G', 'V'), NULL) AS DIAGSICH",
-            f"IF(l_linestatus = 'O', '{OUTPATIENT}', '{INPATIENT}') AS SRC",
+            f"CASE l_linestatus WHEN 'O' THEN '{OUTPATIENT}' WHEN 'F' THEN '{INPATIENT}' END AS SRC",
         )
     )
     ambdiag = diagnoses.filter(f"SRC = '{OUTPATIENT}'").selectExpr(
@@ -95,7 +83,7 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
             " WHEN PSID % 17 = 0 THEN NULL ELSE 1 + PSID % 2 END AS INT) AS GESCHLECHT",
         )
     )
-    return Claims(ambdiag=ambdiag, khdiag=khdiag, vers=vers, versq=versq, unified=diagnoses)
+    return Claims(ambdiag=ambdiag, khdiag=khdiag, vers=vers, versq=versq)
 
 
 # The same tables as SQL common table expressions for the check engine.

@@ -6,23 +6,33 @@ its own branch.
 """
 
 from prevalo.catalogue.claims_views import CLAIMS_SQL
-from prevalo.constants import (
-    BANDS_ADULT,
-    BANDS_EIGHT,
-    BANDS_EVENT,
-    BANDS_FOUR,
-    DICTIONARY_SUBJECT,
-    DICTIONARY_TABLES,
-    FREQUENCY_TABLE,
-    INCLUSION_TEXT,
-    TRACKED_CODES,
-    TRACKED_CODES_SHORT,
-    TRACKED_EXACT,
-    TRACKED_EXACT_SHORT,
-)
 
 YEAR = 2002
 
+# Fixed values, written out here once more so that a slip in the library can't hide in its check.
+BANDS_ADULT = ((0, 17, "0-17"), (18, 59, "18-59"), (60, None, "60+"))
+BANDS_EVENT = ((0, 18, "0-18"), (19, 49, "19-49"), (50, None, "50+"))
+BANDS_FOUR = ((0, 19, "0-19"), (20, 39, "20-39"), (40, 59, "40-59"), (60, None, "60+"))
+BANDS_EIGHT = (
+    (None, 17, "0-17"), (18, 29, "18-29"), (30, 39, "30-39"), (40, 49, "40-49"), (50, 59, "50-59"),
+    (60, 69, "60-69"), (70, 79, "70-79"), (80, None, "80+"),
+)
+TRACKED_EXACT = ("R53", "F480", "T733", "O80", "O81", "O82")
+TRACKED_EXACT_SHORT = ("R53", "F480", "T733")
+TRACKED_CODES_SHORT = (
+    "S02", "S12", "S22", "S32", "S42", "S52", "S62", "S72", "S82", "S92", "T02", "T08",
+    "T10", "T12", "M54", "I10", "I15", "R52", "M25", "M796", "M798", "M799",
+)
+TRACKED_CODES = (*TRACKED_CODES_SHORT, "O30")
+LISTED_CODES = ("Q780", "E849", "S7200", "I1000", "R53", "N390", "B99", "A000", "Z999")
+PREFIXES = ("Q78", "R53", "R530", "S", "E8490", "X1")
+DICTIONARY_TABLES = (
+    ("RT_AGE_SEX_DIST", "Alters- und Geschlechtsverteilung für ICD-10: "),
+    ("RT_COMORBIDITIES", "Top 20 Komorbiditäten (≥10% Prävalenz) für ICD-10: "),
+)
+DICTIONARY_SUBJECT, FREQUENCY_TABLE = "Versichertenbezug", "Häufigkeitstabelle"
+INCLUSION_TEXT = "Versicherte mit ambulanter Diagnose(n): "
+
 
 def _quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
@@ -93,12 +103,29 @@ SHARED = {
         UNION ALL
         SELECT PSID, ICDKH_CODE, BJAHR FROM KHDIAG WHERE ICDKH_CODE = 'Q780')
       GROUP BY ALL""",
-    "EVERY_CODE": """
+    "LISTED_COHORTS": f"""
       SELECT PSID, ICD_CODE, min(BJAHR) AS BJAHR FROM (
         SELECT PSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE DIAGSICH = 'G'
         UNION ALL
         SELECT PSID, ICDKH_CODE, BJAHR FROM KHDIAG)
+      WHERE ICD_CODE IN ({_quoted(LISTED_CODES)})
       GROUP BY ALL""",
+    "TWO_CASES": """
+      SELECT PSID, VSID, ICD_CODE, min(BJAHR) AS BJAHR FROM (
+        SELECT PSID, VSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG
+        WHERE ICDAMB_CODE IN ('Q780', 'Q783') AND DIAGSICH = 'G'
+        UNION ALL
+        SELECT PSID, VSID, ICDKH_CODE, BJAHR FROM KHDIAG
+        WHERE ICDKH_CODE IN ('Q780', 'Q783') OR SEKICD_CODE IN ('Q780', 'Q783')
+      ) GROUP BY ALL""",
+    "TWO_REST": """
+      SELECT PSID, VSID, BJAHR FROM (
+        SELECT PSID, VSID, ICD_CODE, min(BJAHR) AS BJAHR FROM (
+          SELECT PSID, VSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE DIAGSICH = 'G'
+          UNION ALL
+          SELECT PSID, VSID, ICDKH_CODE, BJAHR FROM KHDIAG)
+        WHERE PSID NOT IN (SELECT PSID FROM TWO_CASES)
+        GROUP BY ALL)""",
     "LEGACY": """
       SELECT DISTINCT PSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE ICDAMB_CODE = 'Q780'
       UNION ALL
@@ -174,6 +201,7 @@ NEEDS = {
     "COMORBID_TOP": ["COMORBID"],
     "AGE_SEX_EIGHT": ["SEVERAL", "PERSONS", "FIRST_SEX"],
     "AGE_SEX_REST": ["SEVERAL_REST"],
+    "TWO_REST": ["TWO_CASES"],
 }
 
 
@@ -277,7 +305,49 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
            GROUP BY ALL""",
     ),
     "cohort_all_years": (["LEGACY"], "SELECT * FROM LEGACY"),
-    "cohort_by_code_list": (["EVERY_CODE"], "SELECT * FROM EVERY_CODE"),
+    "cohort_by_code_list": (["LISTED_COHORTS"], "SELECT * FROM LISTED_COHORTS"),
+    "cohort_by_prefix_list": (
+        [],
+        " UNION ALL ".join(
+            f"""SELECT PSID, '{p}' AS LISTED_CODE, ICD_CODE, min(BJAHR) AS BJAHR FROM (
+                  SELECT PSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE DIAGSICH = 'G'
+                  UNION ALL SELECT PSID, ICDKH_CODE, BJAHR FROM KHDIAG)
+                WHERE ICD_CODE LIKE '{p}%' GROUP BY ALL"""
+            for p in PREFIXES
+        ),
+    ),
+    "cohort_by_list_secondary": (
+        [],
+        " UNION ALL ".join(
+            f"""SELECT PSID, VSID, '{p}' AS LISTED_CODE, ICD_CODE, min(BJAHR) AS BJAHR FROM (
+                  SELECT PSID, VSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG
+                  WHERE ICDAMB_CODE = '{p}' AND DIAGSICH = 'G'
+                  UNION ALL SELECT PSID, VSID, ICDKH_CODE, BJAHR FROM KHDIAG WHERE '{p}' IN (ICDKH_CODE, SEKICD_CODE))
+                GROUP BY ALL"""
+            for p in LISTED_CODES
+        ),
+    ),
+    "unified_diagnoses": (
+        [],
+        """SELECT 'AMB' AS SRC, ICDAMB_CODE AS ICD_CODE, NULL::VARCHAR AS SEK_CODE, DIAGSICH, count(*) AS N_ROWS
+           FROM AMBDIAG GROUP BY ALL
+           UNION ALL
+           SELECT 'KH', ICDKH_CODE, SEKICD_CODE, NULL, count(*) FROM KHDIAG GROUP BY ALL""",
+    ),
+    "case_control_several_codes": (
+        ["TWO_CASES", "TWO_REST", "HOMES", "AGREED"],
+        f"""SELECT ICD_CODE, AGE_GROUP AS ALTERSGRUPPE, GESCHLECHT_LABEL, CAST(sum(n) AS BIGINT) AS CNT_D_PSID FROM (
+              SELECT ICD_CODE, BJAHR, AGE_GROUP, GESCHLECHT_LABEL, count(DISTINCT PSID) AS n FROM (
+                SELECT i.PSID, i.BJAHR, i.ICD_CODE, s.GESCHLECHT_LABEL,
+                  {_band("(i.BJAHR - h.GEBJAHR)", BANDS_EVENT, "'Unknown'")} AS AGE_GROUP
+                FROM TWO_CASES i JOIN HOMES h USING (PSID, VSID) JOIN AGREED s USING (PSID, VSID)
+                UNION ALL
+                SELECT i.PSID, i.BJAHR, '!Q780, Q783', s.GESCHLECHT_LABEL, {_band("(i.BJAHR - h.GEBJAHR)", BANDS_EVENT)}
+                FROM TWO_REST i JOIN HOMES h USING (PSID, VSID) JOIN AGREED s USING (PSID, VSID))
+              WHERE AGE_GROUP IS NOT NULL AND GESCHLECHT_LABEL <> 'Unknown'
+              GROUP BY ALL)
+            GROUP BY ALL""",
+    ),
     "cohort_size": (["SEVERAL"], "SELECT count(DISTINCT PSID) AS N_PERSONS FROM SEVERAL"),
     "remaining_population": (["REST"], "SELECT * FROM REST"),
     "remaining_population_rows": (
@@ -322,9 +392,9 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
            GROUP BY ALL""",
     ),
     "age_sex_by_code": (
-        ["EVERY_CODE", "PERSONS", "FIRST_SEX"],
+        ["LISTED_COHORTS", "PERSONS", "FIRST_SEX"],
         f"""SELECT ICD_CODE, BJAHR, AGE_GROUP AS ALTERSGRUPPE, GESCHLECHT_LABEL, count(PSID) AS CNT_D_PSID
-            FROM ({_fixed_year("EVERY_CODE", BANDS_ADULT)}) GROUP BY ALL""",
+            FROM ({_fixed_year("LISTED_COHORTS", BANDS_ADULT)}) GROUP BY ALL""",
     ),
     "age_sex_4band": (
         ["LEGACY", "PERSONS", "FIRST_SEX"],
@@ -347,9 +417,9 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "age_sex_remaining": (["AGE_SEX_REST"], "SELECT * FROM AGE_SEX_REST"),
     "plz1_by_code": (
-        ["EVERY_CODE", "PERSONS", "FIRST_SEX"],
+        ["LISTED_COHORTS", "PERSONS", "FIRST_SEX"],
         f"""SELECT ICD_CODE, substring(PLZ, 1, 1) AS PLZ, count(DISTINCT PSID) AS CNT_D_PSID
-            FROM ({_fixed_year("EVERY_CODE", BANDS_ADULT)}) GROUP BY ICD_CODE, substring(PLZ, 1, 1)""",
+            FROM ({_fixed_year("LISTED_COHORTS", BANDS_ADULT)}) GROUP BY ICD_CODE, substring(PLZ, 1, 1)""",
     ),
     "plz2_dist": (
         ["LEGACY", "PERSONS", "FIRST_SEX"],
@@ -468,6 +538,38 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
 }
 
 
+# Tables of whole reports that equal a single query's result.
+STATEMENTS |= {
+    report: STATEMENTS[query]
+    for report, query in {
+        "report_tracer_age_sex": "age_sex_by_code",
+        "report_tracer_plz": "plz1_by_code",
+        "report_case_control_age_sex": "age_sex_case_control",
+        "report_case_control_codes": "specific_icd_rd",
+        "report_case_control_codes_rest": "specific_icd_remaining",
+        "report_case_control_plz": "plz_case_control",
+        "report_multi_code_age_sex": "age_sex_8band",
+        "report_multi_code_comorbidities": "comorbidity_top20",
+        "report_multi_code_rest": "age_sex_remaining",
+        "report_multi_code_every_row": "age_sex_8band_persons",
+        "report_fixed_year_age_sex": "age_sex_4band",
+        "report_fixed_year_codes": "specific_icd_left",
+        "report_fixed_year_rest": "age_sex_4band_remaining",
+        "report_fixed_year_plz": "plz2_dist",
+        "report_single_code_ages": "dm_age_histogram",
+        "report_single_code_sexes": "dm_sex_share",
+        "report_single_code_counts": "dm_comorbidities",
+        "report_single_code_top20": "dm_top20_labelled",
+        "report_single_code_codes": "dm_labelled_codes",
+    }.items()
+}
+STATEMENTS["report_tracer_plz2"] = (
+    ["LISTED_COHORTS", "PERSONS", "FIRST_SEX"],
+    f"""SELECT ICD_CODE, substring(PLZ, 1, 2) AS PLZ, count(DISTINCT PSID) AS CNT_D_PSID
+        FROM ({_fixed_year("LISTED_COHORTS", BANDS_ADULT)}) GROUP BY ICD_CODE, substring(PLZ, 1, 2)""",
+)
+
+
 def _closure(names: list[str]) -> list[str]:
     """The named expressions and what they build on, dependencies first."""
     ordered: list[str] = []

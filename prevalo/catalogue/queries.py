@@ -9,13 +9,24 @@ from prevalo import operators as op
 from prevalo.catalogue.claims_views import claims_from_star
 from prevalo.constants import BANDS_EIGHT, BANDS_FOUR, TRACKED_CODES_SHORT, TRACKED_EXACT, TRACKED_EXACT_SHORT
 from prevalo.functions import normalise_code
-from prevalo.sources import Claims, stage
+from prevalo.plans import (
+    case_control_report,
+    fixed_year_report,
+    multi_code_report,
+    single_code_report,
+    tracer_report,
+)
+from prevalo.sources import Claims, code_frame, stage
 
 RARE = "Q780"
+TWO = ("Q780", "Q783")
 SEVERAL = ("C222", "C728", "C812", "C817")
 FAMILY = "E849"
 YEAR = 2002
 LABEL_YEARS = (1999, 2000)
+# A code list with dots, absent codes and codes that start with others.
+LISTED = ("Q78.0", "E84.9", "S72.00", "I10.00", "R53", "N39.0", "B99", "A00.0", "Z99.9")
+PREFIXES = ("Q78", "R53", "R53.0", "S", "E84.90", "X1")
 
 QUERIES: dict[str, Callable[[Claims], DataFrame]] = {}
 
@@ -68,11 +79,16 @@ def _dotted_codes(c: Claims) -> DataFrame:
 
 
 def _code_list(c: Claims) -> DataFrame:
-    return _dotted_codes(c).select(normalise_code(F.col("LISTED_CODE")).alias("ICD_CODE"))
+    """Some of the codes, and two that no diagnosis has; staged, as a list from a file would be."""
+    return stage(code_frame(c.vers.sparkSession, LISTED).select("ICD_CODE"), "code-list")
+
+
+def _prefix_list(c: Claims) -> DataFrame:
+    return stage(code_frame(c.vers.sparkSession, PREFIXES).select("ICD_CODE"), "prefix-list")
 
 
 def _tracer_cohorts(c: Claims) -> DataFrame:
-    return stage(op.cohort_for_list(c.diagnoses, _code_list(c)), "tracer")
+    return op.cohort_for_list(c.diagnoses, _code_list(c))
 
 
 def _labels(c: Claims) -> DataFrame:
@@ -133,6 +149,22 @@ def cohort_by_code_list(c: Claims) -> DataFrame:
     return op.cohort_for_list(c.diagnoses, _code_list(c))
 
 
+@registered
+def cohort_by_prefix_list(c: Claims) -> DataFrame:
+    return op.cohort_for_list(c.diagnoses, _prefix_list(c), exact=False)
+
+
+@registered
+def cohort_by_list_secondary(c: Claims) -> DataFrame:
+    return op.cohort_for_list(c.diagnoses, _code_list(c), secondary=True, key=op.CONTRACT)
+
+
+@registered
+def unified_diagnoses(c: Claims) -> DataFrame:
+    """Both sources in one shape."""
+    return c.diagnoses.groupBy("SRC", "ICD_CODE", "SEK_CODE", "DIAGSICH").agg(F.count("*").alias("N_ROWS"))
+
+
 @registered
 def cohort_size(c: Claims) -> DataFrame:
     return op.cohort_size(_several(c))
@@ -210,7 +242,7 @@ def age_sex_case_control_persons(c: Claims) -> DataFrame:
 
 @registered
 def age_sex_by_code(c: Claims) -> DataFrame:
-    return op.age_sex_distribution(_fixed_year(c, _tracer_cohorts(c), prefilter=True))
+    return op.age_sex_distribution(_fixed_year(c, _tracer_cohorts(c)))
 
 
 @registered
@@ -252,7 +284,7 @@ def age_sex_remaining(c: Claims) -> DataFrame:
 
 @registered
 def plz1_by_code(c: Claims) -> DataFrame:
-    return op.plz_distribution(_fixed_year(c, _tracer_cohorts(c), prefilter=True), 1, ("ICD_CODE",))
+    return op.plz_distribution(_fixed_year(c, _tracer_cohorts(c)), 1, ("ICD_CODE",))
 
 
 @registered
@@ -450,10 +482,63 @@ def result_dictionary(c: Claims) -> DataFrame:
     return op.table_entries(op.cohort(c.diagnoses, FAMILY, exact=False).select("ICD_CODE"))
 
 
+# --- report tables: each is a table of the whole report, as its caller gets it --------------
+
+
+def _single(c: Claims) -> dict[str, DataFrame]:
+    # The catalogue years that a report accepts start later than the claims.
+    labels = _labels(c).withColumn("year", F.col("year") + 20)
+    return single_code_report(c, labels, RARE, years=[y + 20 for y in LABEL_YEARS], reference_year=YEAR)
+
+
+REPORTS: dict[str, Callable[[Claims], dict[str, DataFrame]]] = {
+    "tracer": lambda c: tracer_report(c, code_frame(c.vers.sparkSession, LISTED), YEAR),
+    "tracer_two_digits": lambda c: tracer_report(c, code_frame(c.vers.sparkSession, LISTED), YEAR, plz_digits=2),
+    "case_control": lambda c: case_control_report(c, RARE),
+    "case_control_several_codes": lambda c: case_control_report(c, TWO),
+    "multi_code": lambda c: multi_code_report(c, SEVERAL, YEAR, min_share=0.01),
+    "multi_code_every_row": lambda c: multi_code_report(c, SEVERAL, YEAR, min_share=0.01, every_master_row=True),
+    "fixed_year": lambda c: fixed_year_report(c, RARE, YEAR),
+    "single_code": _single,
+}
+
+# Registered name: the report and the table of it.
+REPORT_TABLES = {
+    "report_tracer_age_sex": ("tracer", "ALL_age_sex_dist"),
+    "report_tracer_plz": ("tracer", "ALL_plz_dist"),
+    "report_tracer_plz2": ("tracer_two_digits", "ALL_plz_dist"),
+    "report_case_control_age_sex": ("case_control", "RT_RD_NON_RD_AGE_SEX_DIST"),
+    "report_case_control_codes": ("case_control", "RT_SPECIFIC_ICD_AGE_SEX_DIST"),
+    "report_case_control_codes_rest": ("case_control", "RT_SPECIFIC_ICD_AGE_SEX_DIST_REMAIN"),
+    "report_case_control_plz": ("case_control", "RT_PLZ_OI_NON_OI_SEX"),
+    "case_control_several_codes": ("case_control_several_codes", "RT_RD_NON_RD_AGE_SEX_DIST"),
+    "report_multi_code_age_sex": ("multi_code", "RT_AGE_SEX_DIST"),
+    "report_multi_code_comorbidities": ("multi_code", "RT_COMORBIDITIES"),
+    "report_multi_code_rest": ("multi_code", "RT_AGE_SEX_DIST_TOT"),
+    "report_multi_code_every_row": ("multi_code_every_row", "RT_AGE_SEX_DIST"),
+    "report_fixed_year_age_sex": ("fixed_year", "RT_RD_AGE_SEX_DIST"),
+    "report_fixed_year_codes": ("fixed_year", "RT_SPECIFIC_ICD_AGE_SEX_DIST"),
+    "report_fixed_year_rest": ("fixed_year", "RT_REMAINING_POP_AGE_SEX_DIST"),
+    "report_fixed_year_plz": ("fixed_year", "RT_RD_PLZ_GROUPED"),
+    "report_single_code_ages": ("single_code", "age_sex_hist"),
+    "report_single_code_sexes": ("single_code", "sex_dist"),
+    "report_single_code_counts": ("single_code", "top_comorbidities"),
+    "report_single_code_top20": ("single_code", "top20_comorbidities"),
+    "report_single_code_codes": ("single_code", "top_codes"),
+}
+
+
+def _report_table(report: str, name: str) -> Callable[[Claims], DataFrame]:
+    return lambda c: REPORTS[report](c)[name]
+
+
+REPORT_QUERIES = {name: _report_table(*place) for name, place in REPORT_TABLES.items()}
+
+
 def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query over the star-schema tables of a folder."""
 
     def over_star(query: Callable[[Claims], DataFrame]):
         return lambda spark, sf_dir: query(claims_from_star(spark, sf_dir))
 
-    return {name: over_star(query) for name, query in QUERIES.items()}
+    return {name: over_star(query) for name, query in (QUERIES | REPORT_QUERIES).items()}

@@ -41,7 +41,7 @@ CASE_COUNT = "Fallzahl"
 INCLUSION_TEXT = "Versicherte mit ambulanter Diagnose(n): "
 DICTIONARY_TABLES = (
     ("RT_AGE_SEX_DIST", "Alters- und Geschlechtsverteilung für ICD-10: "),
-    ("RT_COMORBIDITIES", "Top 20 Komorbiditäten (≥10% Prävalenz) für ICD-10: "),
+    ("RT_COMORBIDITIES", "Top {top_n} Komorbiditäten (≥{percent:g}% Prävalenz) für ICD-10: "),
 )
 DICTIONARY_COLUMNS = (
     ("RT_AGE_SEX_DIST", FREQUENCY_TABLE, "BJAHR", "Berichtsjahr aus AMBDIAG"),

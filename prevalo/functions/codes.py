@@ -2,14 +2,10 @@
 
 from collections.abc import Iterable
 from functools import reduce
-from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Up to this many prefixes are written as StartsWith tests, which Parquet can push down.
-PUSHED_PREFIXES = 64
-
 
 def normalise_code(code: Column) -> Column:
     """Code without surrounding blanks and dots: ``D59.10`` becomes ``D5910``."""
@@ -32,18 +28,11 @@ def matches_exact(code: Column, codes: Iterable[str]) -> Column:
 def matches_prefix(code: Column, prefixes: Iterable[str]) -> Column:
     """True when ``code`` starts with any prefix; ``%`` and ``_`` have no special meaning.
 
-    Long lists turn into one set lookup per prefix length, so the cost per row does not
-    grow with the list.
+    Always StartsWith tests, which Parquet can push down. Lists of codes that come from a
+    file belong in a table: ``cohort_for_list`` joins them.
     """
-    listed = list(prefixes)
-    if not listed:
-        return F.lit(False)
-    if len(listed) <= PUSHED_PREFIXES:
-        tests = [code.startswith(p) for p in listed]
-    else:
-        by_length = groupby(sorted(listed, key=len), key=len)
-        tests = [F.substring(code, 1, n).isin(*group) for n, group in by_length]
-    return reduce(lambda a, b: a | b, tests)
+    tests = [code.startswith(p) for p in prefixes]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def match_codes(code: Column, codes: Iterable[str], exact: bool) -> Column:

@@ -68,19 +68,39 @@ def cohort_for_list(
     diagnoses: DataFrame,
     code_list: DataFrame,
     *,
+    exact: bool = True,
+    secondary: bool = False,
     confirmed_only: bool = True,
     key: Sequence[str] = PERSON,
     grain: str = "first_year",
 ) -> DataFrame:
     """One cohort per code of a code list, all in one pass over the diagnoses.
 
-    A list that is small enough to broadcast filters the scan, below the aggregation; a
-    larger one meets rows that are reduced already.
+    A list that is small enough to broadcast (give it staged, so that its size is exact)
+    filters the scan, below the aggregation; a larger one meets rows that are reduced
+    already.
+
+    Without ``exact`` a listed code also stands for all that start with it, and with
+    ``secondary`` the secondary inpatient code counts too. Then a row can belong to several
+    listed codes, and LISTED_CODE names the one it is counted for; ICD_CODE stays the row's
+    own primary code. Rows meet the list by the left parts of their codes, of the lengths that the
+    list has: an equality join, whose work per row doesn't grow with the list.
     """
     events = diagnoses.filter(is_confirmed()) if confirmed_only else diagnoses
     listed = code_list.select("ICD_CODE")
-    reduced = _reduce(events, key, grain)
-    return reduced.join(listed, "ICD_CODE", "left_semi").select(*reduced.columns)
+    if exact and not secondary:
+        reduced = _reduce(events, key, grain)
+        return reduced.join(listed, "ICD_CODE", "left_semi").select(*reduced.columns)
+    codes = ["ICD_CODE", "SEK_CODE"] if secondary else ["ICD_CODE"]
+    if exact:
+        parts = [F.col(c) for c in codes]
+    else:
+        # Bounded: codes have a handful of lengths.
+        lengths = [r[0] for r in listed.select(F.length("ICD_CODE")).distinct().collect()]
+        parts = [F.when(F.length(c) >= n, F.substring(c, 1, n)) for c in codes for n in lengths]
+    named = events.withColumn("LISTED_CODE", F.explode(F.array_distinct(F.array_compact(F.array(*parts)))))
+    named = named.join(listed.withColumnRenamed("ICD_CODE", "LISTED_CODE"), "LISTED_CODE", "left_semi")
+    return _reduce(named, [*key, "LISTED_CODE"], grain)
 
 
 def cohort_size(members: DataFrame) -> DataFrame:
@@ -111,11 +131,13 @@ def remaining(
     return reduced.join(members.select("PSID"), "PSID", "left_anti").select(*reduced.columns)
 
 
-def contract_years(members: DataFrame) -> DataFrame:
+def contract_years(members: DataFrame, partitioned: bool = False) -> DataFrame:
     """Distinct person, contract and year, for tables in which the code plays no part.
 
     Partitioning by contract up front lets the distinct and the join with the master
-    tables share one shuffle.
+    tables share one shuffle (the last of three: reduction and anti-join come before it).
+    ``partitioned`` members, staged in buckets by contract, need none.
     """
     columns = ["PSID", "VSID", "BJAHR"]
-    return members.select(*columns).repartition("PSID", "VSID").distinct()
+    years = members.select(*columns)
+    return (years if partitioned else years.repartition("PSID", "VSID")).distinct()

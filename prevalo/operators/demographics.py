@@ -38,6 +38,8 @@ REST_RULES = DemographicRules()
 
 def fixed_year_rules(reference_year: int, bands: Sequence[Band] = BANDS_ADULT) -> DemographicRules:
     """Per person, first sex entry, age in a fixed year, 'Unknown' for both when missing."""
+    if reference_year is None:
+        raise ValueError("a fixed year is needed; DemographicRules(reference_year=None) takes the diagnosis year")
     return DemographicRules(
         key=PERSON,
         sex="first_row",

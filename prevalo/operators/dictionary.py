@@ -12,16 +12,20 @@ from prevalo.constants import (
 )
 
 
-def table_entries(codes: DataFrame) -> DataFrame:
+def table_entries(codes: DataFrame, min_share: float = 0.10, top_n: int = 20) -> DataFrame:
     """One entry per result table, naming the codes; in POS order when the list has one.
 
+    ``min_share`` and ``top_n`` are those of the report that the entries describe.
+
     The gathered list is bounded by the code catalogue.
     """
     order = F.col("POS") if "POS" in codes.columns else F.lit(0)
     listed = F.array_sort(F.collect_set(F.struct(order.alias("pos"), F.col("ICD_CODE").alias("code"))))
     text = codes.agg(F.array_join(F.transform(listed, lambda item: item["code"]), ", ").alias("codes"))
+    percent = round(100 * min_share, 6)
+    texts = [(name, text.format(top_n=top_n, percent=percent)) for name, text in DICTIONARY_TABLES]
     entries = F.explode(
-        F.array(*(F.struct(F.lit(t).alias("name"), F.lit(d).alias("text")) for t, d in DICTIONARY_TABLES))
+        F.array(*(F.struct(F.lit(t).alias("name"), F.lit(d).alias("text")) for t, d in texts))
     )
     return text.select("codes", entries.alias("entry")).select(
         F.col("entry.name").alias("TABELLENNAME"),

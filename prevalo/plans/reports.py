@@ -5,7 +5,8 @@ the next scan when their exact size allows; the remaining population is large an
 in reduced form, one row per person, contract and code.
 """
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,27 @@ from prevalo.constants import (
 )
 from prevalo.functions import normalise_codes
 from prevalo.plans.settings import label_years
-from prevalo.sources import Claims, code_frame, stage, write_result
+from prevalo.sources import Claims, clear_staged, code_frame, stage, staging_scope, write_result
+
+
+class Report(dict[str, DataFrame]):
+    """Result tables by name, and the folder of what they were staged from."""
+
+    staged: str | None = None
+
+
+def _report(build: Callable[..., dict[str, DataFrame]]) -> Callable[..., Report]:
+    """Keeps what a report stages in a folder of its own."""
+
+    @wraps(build)
+    def scoped(claims: Claims, *args, **options) -> Report:
+        with staging_scope(claims.outpatient.sparkSession) as folder:
+            report = Report(build(claims, *args, **options))
+        report.staged = folder
+        return report
+
+    return scoped
 
-Report = dict[str, DataFrame]
 
 # Columns that order a written result; a leading minus sorts descending.
 ORDERINGS = {
@@ -41,30 +60,39 @@ ORDERINGS = {
 
 
 def write_report(report: Report, root: str, fmt: str = "csv", single_file: bool = False) -> None:
-    """Write every table of a report under ``root``, in the order readers expect."""
+    """Write every table of a report under ``root``, in the order readers expect, and clear its staged tables."""
     for name, table in report.items():
         ordering = [F.desc(c[1:]) if c.startswith("-") else c for c in ORDERINGS.get(name, ())]
         write_result(table, f"{root}/{name}", fmt, order_by=ordering, single_file=single_file)
+    if getattr(report, "staged", None) and report:
+        clear_staged(next(iter(report.values())).sparkSession, report.staged)
+        report.staged = None
 
 
 def _outpatient(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("ICD_CODE", "ICDAMB_CODE")
 
 
-def tracer_report(claims: Claims, code_list: DataFrame, reference_year: int) -> Report:
-    """Age × sex and first postcode digit of every code of a list, in one pass."""
-    cohorts = stage(op.cohort_for_list(claims.diagnoses, code_list), "tracer")
+@_report
+def tracer_report(claims: Claims, code_list: DataFrame, reference_year: int, plz_digits: int = 1) -> Report:
+    """Age × sex and first postcode digits (one or two) of every code of a list, in one pass.
+
+    The persons of a whole list are nearly everyone, so the master tables are not filtered by them.
+    """
     rules = op.fixed_year_rules(reference_year, BANDS_ADULT)
-    demo = stage(op.demographics(cohorts, claims.vers, claims.versq, rules, prefilter=True), "tracer-demographics")
+    listed = stage(code_list.select("ICD_CODE").distinct(), "codes")
+    cohorts = op.cohort_for_list(claims.diagnoses, listed)
+    demo = stage(op.demographics(cohorts, claims.vers, claims.versq, rules), "tracer-demographics")
     return {
         "ALL_age_sex_dist": op.age_sex_distribution(demo),
-        "ALL_plz_dist": op.plz_distribution(demo, 1, ("ICD_CODE",)),
+        "ALL_plz_dist": op.plz_distribution(demo, plz_digits, ("ICD_CODE",)),
     }
 
 
+@_report
 def case_control_report(
     claims: Claims,
-    code: str,
+    code: str | Iterable[str],
     *,
     exact: bool = True,
     tracked: Iterable[str] = TRACKED_CODES,
@@ -76,16 +104,21 @@ def case_control_report(
 ) -> Report:
     """A rare disease against everyone else: age × sex, tracked codes, postcodes.
 
+    Several codes are one group of cases, each under its own code in the tables; the rest is
+    everyone without any of them.
+
     ``link`` other than ``first_year`` links tracked codes to every year of the disease
     and takes the remaining population's codes from every year too.
     """
-    code = normalise_codes(code)[0]
+    code = normalise_codes(code)
     base = {"exact": exact, "secondary": True, "key": op.CONTRACT}
     cases = stage(op.cohort(claims.diagnoses, code, **base), "cases")
-    rest = stage(op.remaining(claims.diagnoses, cases), "rest")
-    profile = stage(op.profiles(claims.vers, claims.versq, op.REST_RULES), "profiles")
+    # Both are as large as the population and meet by contract: in buckets they are shuffled once, here.
+    rest = stage(op.remaining(claims.diagnoses, cases), "rest", bucket_by=op.CONTRACT)
+    profile = stage(op.profiles(claims.vers, claims.versq, op.REST_RULES), "profiles", bucket_by=op.CONTRACT)
     demo_cases = op.describe(cases, profile, op.CASE_RULES)
-    demo_rest = stage(op.describe(op.contract_years(rest), profile, op.REST_RULES), "demographics-rest")
+    years = op.contract_years(rest, partitioned=True)
+    demo_rest = stage(op.describe(years, profile, op.REST_RULES), "demographics-rest")
 
     if link == "first_year":
         linked, rest_events = cases, rest
@@ -97,16 +130,17 @@ def case_control_report(
         claims.diagnoses, linked, link=link, legacy_precedence=legacy_precedence, **lists
     )
     return {
-        "RT_RD_NON_RD_AGE_SEX_DIST": op.age_sex_case_control(demo_cases, demo_rest, f"!{code}"),
+        "RT_RD_NON_RD_AGE_SEX_DIST": op.age_sex_case_control(demo_cases, demo_rest, "!" + ", ".join(code)),
         "RT_SPECIFIC_ICD_AGE_SEX_DIST": op.occurrence_age_sex(found, profile),
         "RT_SPECIFIC_ICD_AGE_SEX_DIST_REMAIN": op.occurrence_age_sex(op.code_occurrence(rest_events, **lists), profile),
         "RT_PLZ_OI_NON_OI_SEX": op.plz_case_control(demo_cases, demo_rest, plz_digits, case_tag),
     }
 
 
+@_report
 def fixed_year_report(
     claims: Claims,
-    code: str,
+    code: str | Iterable[str],
     reference_year: int,
     *,
     exact: bool = True,
@@ -135,6 +169,7 @@ def fixed_year_report(
     }
 
 
+@_report
 def multi_code_report(
     claims: Claims,
     codes: str | Iterable[str],
@@ -167,11 +202,12 @@ def multi_code_report(
         "RT_AGE_SEX_DIST": _outpatient(op.age_sex_distribution(demo)),
         "RT_COMORBIDITIES": op.comorbidities(claims.outpatient, members, listed, min_share=min_share, top_n=top_n),
         "RT_AGE_SEX_DIST_TOT": _outpatient(op.age_sex_distribution(demo_rest)),
-        "DD_RESULT_TABLES": op.table_entries(code_frame(spark, listed)),
+        "DD_RESULT_TABLES": op.table_entries(code_frame(spark, listed), min_share, top_n),
         "DD_RESULT_COLS": op.column_entries(spark),
     }
 
 
+@_report
 def single_code_report(
     claims: Claims,
     labels: DataFrame,
@@ -186,10 +222,13 @@ def single_code_report(
 ) -> Report:
     """One code from outpatient diagnoses: age histogram, sex share, frequent other codes.
 
-    ``labels`` holds year, icd_sub and label. A code that no diagnosis carries is an error.
+    ``labels`` holds year, icd_sub and label. More than one code, and a code that no
+    diagnosis carries, is an error.
     """
     catalogue = label_years(years, latest_year)
-    code = normalise_codes(code, upper=True)[0]
+    code, *more = normalise_codes(code, upper=True)
+    if more:
+        raise ValueError(f"one code is needed, got also {more!r}")
     found = op.filter_codes(claims.outpatient, code, exact)
     hits = stage(op.diagnosis_counts(found), "diagnosis-counts")
     if hits.isEmpty():

@@ -3,7 +3,7 @@
 from prevalo.sources.claims import Claims, read_claims, read_claims_tables, store_claims
 from prevalo.sources.code_list import code_frame, read_code_list
 from prevalo.sources.results import write_result
-from prevalo.sources.staging import clear_staged, stage
+from prevalo.sources.staging import clear_staged, stage, staging_scope
 
 __all__ = [
     "Claims",
@@ -13,6 +13,7 @@ __all__ = [
     "read_claims_tables",
     "read_code_list",
     "stage",
+    "staging_scope",
     "store_claims",
     "write_result",
 ]

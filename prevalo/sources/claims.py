@@ -16,21 +16,17 @@ from prevalo.schemas import claims_schemas
 
 @dataclass(frozen=True)
 class Claims:
-    """Claims tables as DataFrames, wherever they come from. Missing tables are None.
-
-    ``unified`` is for sources that hold both kinds of diagnoses in one table already.
-    """
+    """Claims tables as DataFrames, wherever they come from. Missing tables are None."""
 
     ambdiag: DataFrame | None
     vers: DataFrame | None
     versq: DataFrame | None
     khdiag: DataFrame | None = None
-    unified: DataFrame | None = None
 
     @cached_property
     def diagnoses(self) -> DataFrame:
         """Outpatient and inpatient diagnoses in one shape."""
-        return unified_diagnoses(self.ambdiag, self.khdiag) if self.unified is None else self.unified
+        return unified_diagnoses(self.ambdiag, self.khdiag)
 
     @cached_property
     def outpatient(self) -> DataFrame:
@@ -106,17 +102,27 @@ def read_claims_tables(
 STORED_ORDER = {"ambdiag": ["ICDAMB_CODE"], "khdiag": ["ICDKH_CODE"], "vers": ["PSID"], "versq": ["PSID"]}
 
 
-def store_claims(claims: Claims, root: str) -> Claims:
+def store_claims(claims: Claims, root: str, *, database: str | None = None, buckets: int = 0) -> Claims:
     """Write the tables as ``<root>/<TABLE>.parquet`` and return them read from there.
 
     Worth doing once for delimited sources, which every report would parse again. Rows are
-    ordered within each file only, which needs no shuffle.
+    ordered within each file only, which needs no shuffle. With ``buckets`` the two master
+    tables become tables of ``database`` that are bucketed by person and contract (one shuffle
+    now); reports that read them by that key never shuffle them again.
     """
     tables = {}
     for name, order in STORED_ORDER.items():
         table = getattr(claims, name)
-        if table is not None:
-            path = f"{root}/{name.upper()}.parquet"
+        if table is None:
+            continue
+        path, spark = f"{root}/{name.upper()}.parquet", table.sparkSession
+        if buckets and name in ("vers", "versq"):
+            if database is None:
+                raise ValueError("bucketed tables need a database")
+            spread = table.repartition(buckets, "PSID", "VSID").write.format("parquet").mode("overwrite")
+            spread.bucketBy(buckets, "PSID", "VSID").sortBy("PSID", "VSID").option("path", path).saveAsTable(f"{database}.{name.upper()}")
+            tables[name.upper()] = spark.table(f"{database}.{name.upper()}")
+        else:
             table.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
-            tables[name.upper()] = table.sparkSession.read.schema(table.schema).parquet(path)
+            tables[name.upper()] = spark.read.schema(table.schema).parquet(path)
     return _assemble(tables)

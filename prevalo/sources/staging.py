@@ -2,39 +2,82 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Set to true where file: is a folder that all machines of a cluster mount.
+SHARED_FILES = "spark.prevalo.sharedFiles"
+
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local session without one gets a scratch folder."""
+    """The shared folder the cluster names; a local session without one gets a scratch folder.
+
+    Outside local mode a ``file:`` folder is refused: every machine would have its own.
+    """
+    local = spark.sparkContext.master.startswith("local")
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="prevalo-")
         spark.sparkContext.setCheckpointDir(root)
+    if root.startswith("file:") and not local and spark.conf.get(SHARED_FILES, "false") != "true":
+        raise RuntimeError(f"spark.checkpoint.dir is {root}: executors can't share it (set {SHARED_FILES} if they do)")
     return root
 
 
-def _session_folder(spark: SparkSession) -> str:
-    return f"{staging_root(spark)}/staged/{spark.sparkContext.applicationId}"
+def _folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/staged/{spark.sparkContext.applicationId}/{_scope.get() or 'session'}"
+
 
+def _database(spark: SparkSession, folder: str) -> str:
+    """A database that holds the staged tables of a folder."""
+    name = "prevalo_" + "".join(c if c.isalnum() else "_" for c in folder.rsplit("/staged/", 1)[1]).lower()
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{folder}'")
+    return name
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+
+def stage(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` and read it back.
 
     Later steps read the small table instead of scanning the claims again, a lost executor
     costs nothing that was staged, and the file size is exact: Catalyst broadcasts the
     table when it is below ``spark.sql.autoBroadcastJoinThreshold`` (and then filters
-    before aggregating) and shuffles otherwise. No hint is needed.
+    before aggregating) and shuffles otherwise. No hint is needed. A large table that
+    several joins read by one key is stored in as many buckets as there are shuffle
+    partitions, and none of those joins shuffles it again.
     """
-    path = f"{_session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder, own = _folder(spark), f"{name}-{uuid.uuid4().hex}"
+    if bucket_by:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{_database(spark, folder)}.`{own}`".replace("-", "_")
+        spread = df.repartition(buckets, *bucket_by)
+        spread.write.format("parquet").bucketBy(buckets, *bucket_by).sortBy(*bucket_by).saveAsTable(table)
+        return spark.table(table)
+    path = f"{folder}/{own}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[str]:
+    """What is staged inside goes to a folder of its own, which is yielded."""
+    token = _scope.set(uuid.uuid4().hex)
+    try:
+        yield _folder(spark)
+    finally:
+        _scope.reset(token)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete what this session has staged. Results that were not written yet are lost."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def clear_staged(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete a scope's staged tables, or those of the session outside scopes. Results that read them are lost.
+
+    Dropping the database that lies in the folder removes the folder with all it holds.
+    """
+    spark.sql(f"DROP DATABASE {_database(spark, folder or _folder(spark))} CASCADE")

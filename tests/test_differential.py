@@ -5,12 +5,13 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_points
+from prevalo.catalogue.oracle import check_sql
+from prevalo.catalogue.queries import registered_queries
 from tests.conftest import rows
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, CHECKS = registered_queries(), check_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from prevalo import operators as op
-from prevalo.sources import code_frame, stage, store_claims
+from prevalo.sources import code_frame, read_code_list, stage, store_claims
 from tests.test_differential import plan_of
 
 
@@ -104,3 +104,24 @@ def test_contract_years_share_their_shuffle_with_the_join(spark, stored):
         plan = plan_of(op.demographics(years, stored.vers, stored.versq, op.REST_RULES))
     # Reduction, anti-join and contract years on the left, the cohort's persons, two master tables.
     assert plan.count("Exchange hashpartitioning") == 6
+
+
+def test_code_list_from_a_file_filters_the_scan(spark, stored, tmp_path):
+    (tmp_path / "list.csv").write_text("CODE;TEXT;O;T;L\nQ78.0;t;1;n;l\n")
+    listed = stage(read_code_list(spark, str(tmp_path / "list.csv")).select("ICD_CODE"), "listed")
+    plan = plan_of(op.cohort_for_list(stored.diagnoses, listed))
+    join, aggregate = depth_first(plan, "BroadcastHashJoin.*LeftSemi", "Aggregate")
+    assert join > aggregate and not re.search(r"Exchange hashpartitioning\(ICD_CODE#\d+,", plan)
+
+
+def test_bucketed_masters_and_rest_are_not_shuffled(spark, stored, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/db'")
+    c = store_claims(stored, str(tmp_path / "b"), database="bucketed", buckets=4)
+    with broadcasting(spark, -1):
+        assert "Exchange" not in plan_of(op.profiles(c.vers, c.versq, op.REST_RULES))
+        profile = stage(op.profiles(c.vers, c.versq, op.REST_RULES), "profiles", bucket_by=op.CONTRACT)
+        cases = stage(op.cohort(c.diagnoses, "S720", key=op.CONTRACT), "cases")
+        rest = stage(op.remaining(c.diagnoses, cases), "rest", bucket_by=op.CONTRACT)
+        plan = plan_of(op.describe(op.contract_years(rest, partitioned=True), profile, op.REST_RULES))
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    spark.sql("DROP DATABASE bucketed CASCADE")

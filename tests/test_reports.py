@@ -1,6 +1,7 @@
 """Reports against the registered queries, whose results are checked elsewhere."""
 
 import os
+from pathlib import Path
 
 import pytest
 
@@ -114,3 +115,46 @@ def test_single_code_report(c):
 def test_single_code_report_without_a_match(c):
     with pytest.raises(ValueError, match="no diagnosis"):
         single_code_report(c, registry._labels(c), "ZZZ")
+
+
+def cases_of(report, table, column="ICD_CODE"):
+    return {r[column] for r in report[table].select(column).distinct().collect()}
+
+
+def test_no_report_drops_a_code_of_several(c):
+    two = ["Q78.0", "Q783"]
+    assert cases_of(case_control_report(c, two), "RT_RD_NON_RD_AGE_SEX_DIST") >= {"Q780", "Q783", "!Q780, Q783"}
+    assert cases_of(fixed_year_report(c, two, registry.YEAR), "RT_RD_AGE_SEX_DIST") == {"Q780", "Q783"}
+    assert cases_of(multi_code_report(c, two, registry.YEAR), "RT_AGE_SEX_DIST", "ICDAMB_CODE") == {"Q780", "Q783"}
+    with pytest.raises(ValueError, match="one code"):
+        single_code_report(c, registry._labels(c), two)
+
+
+def test_rest_of_several_codes_is_without_any_of_them(c):
+    one, other, both = (
+        case_control_report(c, codes)["RT_RD_NON_RD_AGE_SEX_DIST"].filter("ICD_CODE LIKE '!%'").groupBy().sum("CNT_D_PSID").first()[0]
+        for codes in ("Q780", "Q783", ["Q780", "Q783"])
+    )
+    assert both < min(one, other)
+
+
+def test_written_reports_leave_nothing_staged(c, tmp_path):
+    report = case_control_report(c, "Q780")
+    folder = Path(report.staged.removeprefix("file://"))
+    assert any(folder.iterdir())
+    write_report(report, str(tmp_path), "parquet")
+    assert not folder.exists() and (tmp_path / "RT_PLZ_OI_NON_OI_SEX").exists()
+
+
+def test_dictionary_names_the_parameters(c):
+    def text(**options):
+        entries = multi_code_report(c, registry.SEVERAL, registry.YEAR, **options)["DD_RESULT_TABLES"]
+        return entries.filter("TABELLENNAME = 'RT_COMORBIDITIES'").first().BESCHREIBUNG
+
+    assert text() == "Top 20 Komorbiditäten (≥10% Prävalenz) für ICD-10: C222, C728, C812, C817"
+    assert text(min_share=0.01, top_n=5).startswith("Top 5 Komorbiditäten (≥1% Prävalenz)")
+
+
+def test_a_tracer_needs_a_year(c):
+    with pytest.raises(ValueError, match="fixed year"):
+        tracer_report(c, registry._code_list(c), None)

@@ -143,10 +143,33 @@ def test_staged_tables_can_be_cleared(spark):
     assert sources.stage(spark.range(3), "three").count() == 3
 
 
-def test_staging_needs_a_shared_folder_outside_local_mode():
-    cluster = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: default),
+def cluster(**settings):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: settings.get(key.rsplit(".", 1)[1], default)),
         sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None),
     )
+
+
+def test_staging_needs_a_shared_folder_outside_local_mode():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging_root(cluster)
+        staging_root(cluster())
+    with pytest.raises(RuntimeError, match="can't share"):
+        staging_root(cluster(dir="file:///tmp/x"))
+    assert staging_root(cluster(dir="file:///mnt/x", sharedFiles="true")) == "file:///mnt/x"
+    assert staging_root(cluster(dir="hdfs://a/b")) == "hdfs://a/b"
+
+
+def test_scopes_are_cleared_alone(spark):
+    outside = sources.stage(spark.range(5).toDF("PSID"), "five")
+    with sources.staging_scope(spark) as folder:
+        inside = sources.stage(spark.range(4).toDF("PSID"), "four", bucket_by=["PSID"])
+        sources.stage(spark.range(3), "three")
+    assert inside.count() == 4 and Path(folder.removeprefix("file://")).exists()
+    sources.clear_staged(spark, folder)
+    assert not Path(folder.removeprefix("file://")).exists() and outside.count() == 5
+
+
+def test_quoted_fields_of_a_code_list(spark, tmp_path):
+    (tmp_path / "list.csv").write_text('CODE;TEXT;O;T;L\nA00.0;"first\nx;y ""z""";1;n;l\nB01;plain;2;n;l\n')
+    found = sources.read_code_list(spark, str(tmp_path / "list.csv")).collect()
+    assert [(r[0], r[1], r[2]) for r in found] == [("A000", 'first\nx;y "z"', "1"), ("B01", "plain", "2")]
