@@ -43,6 +43,10 @@ SPAN, GRAM = 50, 24
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
 #: Stretches whose anchors are found at a time.
 CHUNK = 1 << 20
+#: Contexts whose stretches are sorted at a time, or all of one anchor if they are more.
+CONTEXTS = 1 << 13
+#: Stretches that are sorted at a time, or all with one anchor in one place if they are more.
+STRETCHES = 1 << 16
 HASH_BITS = 48
 NO_ID = (1 << 63) - 1
 
@@ -172,7 +176,7 @@ def _parts(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 def _slices(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Each bucket and where its rows are; the buckets come sorted."""
     found, starts = np.unique(buckets, return_index=True)
-    for k, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True):
+    for k, a, b in zip(found.tolist(), starts.tolist(), np.append(starts, len(buckets))[1:].tolist(), strict=True):
         yield k, slice(a, b)
 
 
@@ -232,31 +236,62 @@ def _send_contexts(buckets: int):
     return send
 
 
-def _classes(rows: pa.Table) -> pa.Table:
-    """Step 4: sort the contexts' stretches and send back runs of them with the smallest id of their class."""
-    blocks, read = rows.column("block").to_pylist(), [unpack(x) for x in rows.column("data").to_pylist()]
-    entry, key, offset, size, low, high, data = (np.concatenate(c) for c in zip(*read, strict=True))
-    owner = np.repeat(np.arange(len(read)), [len(r[0]) for r in read])
-    size = size.astype(np.int64)
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _cuts(sorted_keys: np.ndarray, step: int) -> np.ndarray:
+    """Bounds of slices of about ``step`` rows that no key is divided by."""
+    heads = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
+    wanted = np.searchsorted(heads, np.arange(0, len(sorted_keys), step)).clip(max=len(heads) - 1)
+    return np.append(heads[np.unique(wanted)], len(sorted_keys))
+
+
+def _least(key: np.ndarray, offset: np.ndarray, low: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, stretch, smallest id of the stretch's class) of all stretches of these contexts."""
     count = size - SPAN + 1
-    item = np.repeat(np.arange(len(size)), count)
-    place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    at = (np.cumsum(size) - size)[item] + place
+    item, place = np.repeat(np.arange(len(size), dtype=np.int32), count), _within(count).astype(np.int32)
+    at = (np.cumsum(size) - size).astype(np.int32)[item] + place
     # Only stretches with the same anchor in the same place can be equal.
     group = key[item] * 128 + (place - offset[item] + 64)
-    order, same = sort_suffixes(Hashed(data), at, group, SPAN)
-    number = np.cumsum(~same) - 1
-    heads = np.flatnonzero(~same)
-    least = np.empty(len(item), np.int64)
-    least[order] = np.minimum.reduceat(low[item[order]], heads)[number] if len(heads) else 0
-    matters = least < high[item]
-    item, place, least = item[matters], place[matters], least[matters]
-    new = np.concatenate([[True], (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (least[1:] != least[:-1])]) if len(item) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(item)) - 1
-    runs = (entry[item[begin]], place[begin].astype(np.uint8), place[end].astype(np.uint8), least[begin])
+    order = np.argsort(group, kind="stable").astype(np.int32)
+    text, least = Hashed(data), np.empty(len(item), np.int64)
+    cuts = _cuts(group[order], STRETCHES)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        some = order[a:b]
+        inner, same = sort_suffixes(text, at[some], group[some], SPAN)
+        some = some[inner]
+        least[some] = np.minimum.reduceat(low[item[some]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    return item, place, least
+
+
+def _classes(rows: pa.Table) -> pa.Table:
+    """Step 4: sort the contexts' stretches, some anchors' at a time, and send back runs of them with the smallest id of their class."""
+    blocks, read = rows.column("block").to_pylist(), [unpack(x) for x in rows.column("data").to_pylist()]
+    raw = b"".join(r.pop().tobytes() for r in read)
+    owner = np.repeat(np.arange(len(read), dtype=np.int32), [len(r[0]) for r in read])
+    entry, key, offset, size, low, high = (np.concatenate(c) for c in zip(*read, strict=True))
+    del read
+    stops = np.cumsum(size, dtype=np.int64)
+    by_key = np.argsort(key, kind="stable").astype(np.int32)
+    cuts = _cuts(key[by_key], CONTEXTS)
+    found: list[tuple[np.ndarray, ...]] = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        e = by_key[a:b]
+        some = size[e].astype(np.int64)
+        text = b"".join([raw[z - n : z] for z, n in zip(stops[e].tolist(), some.tolist(), strict=True)])
+        item, place, least = _least(key[e], offset[e].astype(np.int64), low[e], some, np.frombuffer(text, np.uint8))
+        matters = least < high[e[item]]
+        item, place, least = e[item[matters]], place[matters], least[matters]
+        new = (np.diff(item, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 1) | (np.diff(least, prepend=0) != 0)
+        begin = np.flatnonzero(new)
+        end = np.append(begin, len(item))[1:] - 1
+        found.append((owner[item[begin]], entry[item[begin]], place[begin].astype(np.uint8), place[end].astype(np.uint8), least[begin]))
+    block, *runs = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(block, kind="stable")
     bucket = rows.column("bucket")[0].as_py()
-    return _parts([(bucket, blocks[k], pack(*(c[s] for c in runs))) for k, s in _slices(owner[item[begin]])])
+    return _parts([(bucket, blocks[k], pack(*(c[order[s]] for c in runs))) for k, s in _slices(block[order])])
 
 
 def _remove(buckets: int, schema: pa.Schema):

@@ -34,7 +34,11 @@ class Hashed:
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=self.prefix[1:])
+        values = self.prefix[1:]
+        values += data
+        values += np.uint64(1)
+        values *= powers(BASE, len(data))
+        np.cumsum(values, out=values)
         self.scale = powers(INVERSE, len(data) + 1)
 
     def stretch(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
