@@ -118,7 +118,7 @@ class Codec:
         self.special = special
         self.add_space = bool(data["pre_tokenizer"].get("add_prefix_space"))
         self.split, self.ascii_split = regex.compile(SPLIT).findall, re.compile(ASCII_SPLIT).findall
-        self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)))
         self.known: dict[str, bytes] = _Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
@@ -171,7 +171,7 @@ class Codec:
             return b""
         out: list[bytes] = []
         at = 0
-        if self.specials is not None and "<" in text or self.specials is not None and any(s[0] != "<" for s in self.special):
+        if any(s in text for s in self.special):
             for m in self.specials.finditer(text):
                 out += self.segment(text[at : m.start()])
                 out.append(self.special[m[0]].to_bytes(4, "little"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.sources.staging import staging_root
+from prevalo.sources.staging import stage
+
+__all__ = ["WORD", "python_workers", "stage", "table", "uniform", "word_count"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,17 +34,6 @@ def python_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared checkpoint folder and read it back.
-
-    Cuts the lineage: what was staged survives lost executors, and its size is exact.
-    """
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) fixed by the parts: 52 bits of an MD5 digest, plus a half step."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])

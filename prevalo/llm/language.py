@@ -73,7 +73,7 @@ def ranked(values: np.ndarray, most: int) -> np.ndarray:
     return found[np.lexsort((found, -counts))][:most]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
-        if sum(map(len, held.values())) > HELD:
+        if sum(map(len, held.values())) > most:
             yield from flush()
     yield from flush()
 

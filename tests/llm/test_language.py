@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,9 +63,21 @@ def test_grams_equal_the_plain_ones():
     assert Counter(place.tolist()) == Counter({0: 2 + 3 + 2, 1: 1 + 2 + 1})
 
 
-@pytest.mark.parametrize("held", [1, 100_000])
-def test_profiles_and_predictions_equal_the_plain_ones(documents, monkeypatch, held):
-    monkeypatch.setattr(language, "HELD", held)
+def test_partial_counts_add_up():
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "b", "a"], "text": ["the cat", "ein Hund", "the the dog"]})
+
+    def total(most):
+        out = Counter()
+        for part in language._counted(iter([batch, batch]), most):
+            for r in part.to_pylist():
+                out[r["lang"], r["gram"]] += r["n"]
+        return out
+
+    assert total(1) == total(1000)
+    assert total(1)["a", number(" th")] == 6
+
+
+def test_profiles_and_predictions_equal_the_plain_ones(documents):
     df = documents(TEXTS)
     learned = language.learn(df, length=60)
     profiles = {}
