@@ -9,7 +9,9 @@ Sorting the suffixes of all documents in one place would move every position of
    so equal stretches have equal anchors; about one position in fourteen is one. Blocks send the sorted anchor hashes they have, each once.
 2. Buckets of hashes tell each block which of its anchors other documents have too.
 3. Blocks send the context of those anchors: the bytes of all stretches that share the anchor, each distinct context once, with
-   the smallest and largest id that has it. A passage that is in all documents is one context of each block.
+   the smallest and largest id that has it. A passage that is in all documents is one context of each block. At
+   its ends every document has a context of its own; where an anchor has more than ``HOT`` places, its stretches go
+   to buckets by their own hashes, so that no bucket gets all of them.
 4. Buckets sort the contexts' suffixes (``suffixes``), grouped by anchor and place. Equal stretches become neighbours, verified by
    their bytes, and the smallest id of each class goes back to the blocks it concerns.
 5. Blocks remove what is covered by stretches whose smallest id is below the document's own.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ SPAN, GRAM = 50, 24
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
 #: Stretches whose anchors are found at a time.
 CHUNK = 1 << 20
+#: Places with one anchor beyond which its stretches are dealt out by their own hashes.
+HOT = 1 << 14
 #: Contexts whose stretches are sorted at a time, or all of one anchor if they are more.
 CONTEXTS = 1 << 13
 #: Stretches that are sorted at a time, or all with one anchor in one place if they are more.
@@ -76,6 +81,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
 class Block:
     """The documents of a block, one after the other, and the anchors of their stretches.
 
@@ -117,23 +127,43 @@ class Block:
         self.keys, self.back = np.unique(self.key, return_inverse=True)
 
     def shared_inside(self) -> np.ndarray:
-        """Whether documents with different ids in this block have the anchor."""
+        """Whether documents with different ids in this block have the anchor's key."""
         low, high = np.full(len(self.keys), NO_ID), np.full(len(self.keys), -NO_ID - 1)
         np.minimum.at(low, self.back, self.ids[self.doc])
         np.maximum.at(high, self.back, self.ids[self.doc])
         return low < high
 
-    def contexts(self, shared: np.ndarray) -> None:
-        """Number the distinct contexts of the anchors that ``shared`` (by key) marks, in the order of the documents."""
-        self.used = np.flatnonzero(shared[self.back])
+    def contexts(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """Number the distinct contexts of the anchors that ``shared`` (by key) marks, in the order of the documents.
+
+        use_begin, use_doc, context: where the context of each anchor begins, whose it is, and its number; texts,
+        low, high, keys_of, offsets: the contexts' bytes, ids, keys and where their anchors stand in them.
+        A hot anchor's stretches are contexts of their own, with their own hash as the key.
+        """
+        used = np.flatnonzero(shared[self.back])
+        whole = ~hot[self.back[used]]
+        calm, parted = used[whole], used[~whole]
+        count = self.last[parted] - self.first[parted] + 1
+        single = np.repeat(self.first[parted], count) + _within(count)
+        self.use_begin = np.concatenate([self.first[calm], single])
+        self.use_doc = np.concatenate([self.doc[calm], np.repeat(self.doc[parted], count)])
+        ends = np.concatenate([self.last[calm], single]) + self.span
         known: dict[bytes, int] = {}
-        raw, span = self.raw, self.span
-        bounds = zip(self.first[self.used].tolist(), (self.last[self.used] + span).tolist(), strict=True)
-        self.context = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in bounds), np.int64, len(self.used))
+        raw = self.raw
+        bounds = zip(self.use_begin.tolist(), ends.tolist(), strict=True)
+        self.context = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in bounds), np.int64, len(ends))
         self.texts = list(known)
         self.low, self.high = np.full(len(known), NO_ID), np.full(len(known), -NO_ID - 1)
-        np.minimum.at(self.low, self.context, self.ids[self.doc[self.used]])
-        np.maximum.at(self.high, self.context, self.ids[self.doc[self.used]])
+        np.minimum.at(self.low, self.context, self.ids[self.use_doc])
+        np.maximum.at(self.high, self.context, self.ids[self.use_doc])
+        first = np.full(len(known), len(ends))
+        np.minimum.at(first, self.context, np.arange(len(ends)))
+        anchored = first < len(calm)
+        self.keys_of, self.offsets = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        of = calm[first[anchored]]
+        self.keys_of[anchored], self.offsets[anchored] = self.key[of], self.at[of] - self.first[of]
+        for i in np.flatnonzero(~anchored).tolist():
+            self.keys_of[i] = xxhash.xxh64_intdigest(self.texts[i]) >> (64 - HASH_BITS)
 
     def spans(self, runs: list[np.ndarray]) -> list[list[tuple[int, int]]]:
         """Removed spans of each document, from runs (context, first stretch, last stretch, smallest id)."""
@@ -143,12 +173,12 @@ class Block:
             order = np.argsort(context, kind="stable")
             context, begin, end, least = context[order].astype(np.int64), begin[order], end[order], least[order]
             low, high = np.searchsorted(context, self.context), np.searchsorted(context, self.context, side="right")
-            use = np.repeat(self.used, high - low)
-            hit = np.arange(len(use)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-            below = least[hit] < self.ids[self.doc[use]]
+            use = np.repeat(np.arange(len(self.context)), high - low)
+            hit = _within(high - low) + np.repeat(low, high - low)
+            below = least[hit] < self.ids[self.use_doc[use]]
             use, hit = use[below], hit[below]
-            np.add.at(edges, self.first[use] + begin[hit], 1)
-            np.add.at(edges, self.first[use] + end[hit] + self.span, -1)
+            np.add.at(edges, self.use_begin[use] + begin[hit], 1)
+            np.add.at(edges, self.use_begin[use] + end[hit] + self.span, -1)
         gone = np.cumsum(edges[:-1]) > 0
         out = []
         for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True):
@@ -183,33 +213,38 @@ def _slices(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
 def _send_keys(buckets: int):
     def send(docs: pa.Table) -> pa.Table:
         block, number = _block(docs), docs.column("block")[0].as_py()
-        inside = block.shared_inside()
+        inside, often = block.shared_inside(), np.bincount(block.back, minlength=len(block.keys)).clip(max=65535).astype(np.uint16)
         found = _slices(_bucket(block.keys, buckets))
-        return _parts([(k, number, pack(np.diff(block.keys[s], prepend=0), inside[s])) for k, s in found])
+        return _parts([(k, number, pack(np.diff(block.keys[s], prepend=0), inside[s], often[s])) for k, s in found])
 
     return send
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """Step 2: for each block a bit for each of its keys, in their order, whether another document has it."""
-    blocks, read = rows.column("block").to_pylist(), [unpack(x) for x in rows.column("data").to_pylist()]
-    keys = np.concatenate([np.cumsum(k) for k, _ in read])
-    found, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    several = count > 1
-    several[back[np.concatenate([x for _, x in read])]] = True
-    cuts = np.split(several[back], np.cumsum([len(k) for k, _ in read])[:-1])
-    bucket = rows.column("bucket")[0].as_py()
-    return _parts([(bucket, b, pack(np.packbits(x))) for b, x in zip(blocks, cuts, strict=True) if x.any()])
+def _mark_shared(most: int):
+    def shared(rows: pa.Table) -> pa.Table:
+        """Step 2: for each block two bits for each of its keys, in their order: whether another document has it, and whether it is hot."""
+        blocks, read = rows.column("block").to_pylist(), [unpack(x) for x in rows.column("data").to_pylist()]
+        keys = np.concatenate([np.cumsum(k) for k, _, _ in read])
+        found, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+        several = count > 1
+        several[back[np.concatenate([x for _, x, _ in read])]] = True
+        hot = np.bincount(back, np.concatenate([n for _, _, n in read])) > most
+        ends = np.cumsum([len(k) for k, _, _ in read])[:-1]
+        cuts = zip(blocks, np.split(several[back], ends), np.split(hot[back], ends), strict=True)
+        bucket = rows.column("bucket")[0].as_py()
+        return _parts([(bucket, b, pack(np.packbits(x), np.packbits(y))) for b, x, y in cuts if x.any()])
+
+    return shared
 
 
 def _with_contexts(docs: pa.Table, answers: pa.Table, buckets: int) -> Block:
     block = _block(docs)
-    bits = {b: unpack(d)[0] for b, k, d in zip(*(answers.column(c).to_pylist() for c in ("bucket", "step", "data")), strict=True) if k == 2}
-    shared = np.zeros(len(block.keys), bool)
+    bits = {b: unpack(d) for b, k, d in zip(*(answers.column(c).to_pylist() for c in ("bucket", "step", "data")), strict=True) if k == 2}
+    shared, hot = np.zeros(len(block.keys), bool), np.zeros(len(block.keys), bool)
     for k, s in _slices(_bucket(block.keys, buckets)):
         if k in bits:
-            shared[s] = np.unpackbits(bits[k], count=s.stop - s.start).astype(bool)
-    block.contexts(shared)
+            shared[s], hot[s] = (np.unpackbits(x, count=s.stop - s.start).astype(bool) for x in bits[k])
+    block.contexts(shared, hot)
     return block
 
 
@@ -218,10 +253,7 @@ def _send_contexts(buckets: int):
         if not docs.num_rows or not answers.num_rows:
             return _parts([])
         block, number = _with_contexts(docs, answers, buckets), docs.column("block")[0].as_py()
-        first = np.full(len(block.texts), len(block.used))
-        np.minimum.at(first, block.context, np.arange(len(block.used)))
-        use = block.used[first]
-        key, offset = block.key[use], (block.at[use] - block.first[use]).astype(np.uint8)
+        key, offset = block.keys_of, block.offsets.astype(np.uint8)
         where = _bucket(key, buckets)
         order = np.argsort(where, kind="stable")
         rows = []
@@ -236,11 +268,6 @@ def _send_contexts(buckets: int):
     return send
 
 
-def _within(size: np.ndarray) -> np.ndarray:
-    """0, 1, ... up to each size, one after the other."""
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-
-
 def _cuts(sorted_keys: np.ndarray, step: int) -> np.ndarray:
     """Bounds of slices of about ``step`` rows that no key is divided by."""
     heads = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
@@ -328,7 +355,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
     rows = rows.repartition(tasks, "block")
 
     keys = rows.groupBy("block").applyInArrow(_send_keys(buckets), PARTS)
-    shared = keys.groupBy("bucket").applyInArrow(_shared, PARTS).withColumn("step", F.lit(2))
+    shared = keys.groupBy("bucket").applyInArrow(_mark_shared(HOT), PARTS).withColumn("step", F.lit(2))
     contexts = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(buckets), PARTS)
     classes = contexts.groupBy("bucket").applyInArrow(_classes, PARTS).withColumn("step", F.lit(4))
     result = "doc " + docs.select(F.struct(*keep).alias("doc")).schema["doc"].dataType.simpleString()

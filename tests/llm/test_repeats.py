@@ -64,14 +64,14 @@ def test_packing():
 def check(documents, rows):
     df = documents(rows).withColumns({"block": F.lit("clash"), "data": F.lit(1), "id": F.lit(2), "key": F.lit(3), "spans": F.lit(4)})
     got = repeats.remove_repeats(df, keep=("doc_id", "text", "data")).collect()
-    want = sorted(((i, t), *w) for (i, t), w in zip(rows, plain_kept(rows), strict=True)) if all(i is not None and t is not None for i, t in rows) else None
     have = [((r.doc.doc_id, r.doc.text), bytes(r.kept), sum(s.stop - s.start for s in r.spans), len(r.spans)) for r in got]
     want = sorted((((i, t), *w) for (i, t), w in zip(rows, plain_kept(rows), strict=True)), key=str)
     assert sorted(have, key=str) == want
 
 
-@pytest.mark.parametrize("blocks", [(8000, 9000), (1500, 1200), (1 << 22, 1 << 24)])
+@pytest.mark.parametrize("blocks", [(8000, 9000, 5), (1500, 1200, 40), (1 << 22, 1 << 24, 1 << 14)])
 def test_equals_the_plain_removal(documents, monkeypatch, blocks):
+    monkeypatch.setattr(repeats, "HOT", blocks[2])
     monkeypatch.setattr(repeats, "BLOCK_BYTES", blocks[0])
     monkeypatch.setattr(repeats, "BUCKET_BYTES", blocks[1])
     rng = random.Random(5)
@@ -81,14 +81,32 @@ def test_equals_the_plain_removal(documents, monkeypatch, blocks):
     check(documents, rows)
 
 
-def test_long_texts_and_chunks(documents, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK", 512)
+def test_anchors_of_chunks_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(7)
+    ids, texts = np.arange(40), ["".join(rng.choice("abc") for _ in range(rng.randint(0, 400))).encode() for _ in range(40)]
+    whole = repeats.Block(ids, texts)
+    monkeypatch.setattr(repeats, "CHUNK", 97)
+    parts = repeats.Block(ids, texts)
+
+    def stretches(block):
+        """The anchor's place and key of each stretch."""
+        return {s: (p, k) for p, k, a, z in zip(block.at, block.key, block.first, block.last, strict=True) for s in range(a, z + 1)}
+
+    assert stretches(whole) == stretches(parts)
+    assert len(stretches(whole)) == sum(max(0, len(t) - 49) for t in texts)
+    for s, (p, _) in stretches(whole).items():
+        assert s <= p <= s + repeats.SPAN - repeats.GRAM
+
+
+def test_long_texts(documents):
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(6000))
     check(documents, [(1, base), (2, base[3000:] + "Z" + base[:3000]), (3, base[:49]), (4, base[100:150]), (4, base), (5, "x" * 5000)])
 
 
-def test_many_copies(documents, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 30, 1 << 14])
+def test_many_copies(documents, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
     text = "the same passage of more than fifty bytes that everybody has copied somewhere"
     check(documents, [(i, text if i % 3 == 0 else f"{i} before {text} after {i}") for i in range(150)])
