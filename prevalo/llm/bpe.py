@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prevalo.llm.common import python_workers
+from prevalo.llm.common import give_back, python_workers
 
 #: Fixed value: how the byte-level vocabulary splits texts before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,7 +37,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 #: Pieces of up to so many characters are remembered, in two generations of so many.
-PIECE_CHARS, PIECES = 48, 250_000
+PIECE_CHARS, PIECES = 48, 120_000
 #: Sorts behind every rule.
 NO_RULE = (1 << 40, -1)
 #: Bytes the encoder takes in at a time beyond the lookahead, tokens the decoder takes at a time.
@@ -272,6 +272,8 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", out: str = "b
     def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = codec_of(name)
         for texts in parts:
-            yield pd.DataFrame([row(codec, t) for t in texts], columns=RESULT.names)
+            found = [row(codec, t) for t in texts]
+            give_back()
+            yield pd.DataFrame(found, columns=RESULT.names)
 
     return df.withColumn(out, digests(F.col(text)))

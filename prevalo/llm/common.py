@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prevalo.sources.staging import stage
 
-__all__ = ["WORD", "python_workers", "stage", "table", "uniform", "word_count"]
+__all__ = ["WORD", "give_back", "python_workers", "stage", "table", "uniform", "word_count"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +37,14 @@ def python_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the machine: Arrow's pool and the allocator keep it otherwise,
+    and workers live on between the tasks of all operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) fixed by the parts: 52 bits of an MD5 digest, plus a half step."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])

@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prevalo.llm.common import python_workers
+from prevalo.llm.common import give_back, python_workers
 
 #: N-grams in a profile, and most frequent n-grams of a document that are compared.
 PROFILE, OWN = 1500, 400
 MOST_LANGUAGES = 1000
 #: Distinct words a worker holds while it counts.
-HELD = 100_000
+HELD = 30_000
 UNKNOWN = "und"
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -88,8 +88,9 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
-        if sum(map(len, held.values())) > most:
-            yield from flush()
+            if sum(map(len, held.values())) > most:
+                yield from flush()
+        give_back()
     yield from flush()
 
 
@@ -135,7 +136,9 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", out: str =
 
     @F.pandas_udf(RESULT)
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([nearest(t, shared.value) for t in texts], columns=RESULT.names)
+        found = [nearest(t, shared.value) for t in texts]
+        give_back()
+        return pd.DataFrame(found, columns=RESULT.names)
 
     return docs.withColumn(out, guess(F.col(text)))
 

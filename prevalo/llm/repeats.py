@@ -38,20 +38,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from prevalo.llm.common import WORD, python_workers
+from prevalo.llm.common import WORD, give_back, python_workers
 from prevalo.llm.suffixes import Hashed, sort_suffixes
 
 SPAN, GRAM = 50, 24
 #: Bytes of text in a block, and of those whose anchors meet in a bucket, on average.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
 #: Stretches whose anchors are found at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Places with one anchor beyond which its stretches are dealt out by their own hashes.
 HOT = 1 << 14
 #: Contexts whose stretches are sorted at a time, or all of one anchor if they are more.
-CONTEXTS = 1 << 13
+CONTEXTS = 1 << 12
 #: Stretches that are sorted at a time, or all with one anchor in one place if they are more.
-STRETCHES = 1 << 16
+STRETCHES = 1 << 15
 HASH_BITS = 48
 NO_ID = (1 << 63) - 1
 
@@ -199,6 +199,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _parts(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    give_back()
     columns = zip(*rows, strict=True) if rows else ([], [], [])
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, PARTS_ARROW.types, strict=True)], schema=PARTS_ARROW)
 
@@ -335,6 +336,7 @@ def _remove(buckets: int, schema: pa.Schema):
             removed.append([{"start": x, "stop": y} for x, y in gone])
         doc = docs.column("doc").take(pa.array(block.order))
         sizes = pa.array((block.stops - block.starts).tolist(), pa.int64())
+        give_back()
         columns = [doc, sizes, pa.array(removed, schema.field("spans").type), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays(columns, schema=schema)
 

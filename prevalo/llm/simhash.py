@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prevalo.llm.common import python_workers, stage
+from prevalo.llm.common import give_back, python_workers, stage
 from prevalo.llm.components import components
 
 SHINGLE, SEED, NEAR = 3, 42, 2
@@ -42,7 +42,7 @@ CROWD = 4096
 #: Children of a node, and the largest node that is compared without an index.
 FAN, SMALL = 16, 48
 #: Shingles hashed at a time.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -66,7 +66,9 @@ def fingerprint(text: bytes | None) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    found = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+    give_back()
+    return pd.Series(found)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Suffixes whose bytes are laid side by side at a time.
-ROWS = 1 << 17
+ROWS = 1 << 15
 
 _POWERS: dict[int, np.ndarray] = {}
 
