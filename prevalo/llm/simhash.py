@@ -22,7 +22,7 @@ repeated rows get a row each; an empty table gives an empty result. Other column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -233,18 +233,26 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     rows = docs.select(F.struct(*keep).alias("doc"), F.col("doc_id").alias("id"), F.col(text).alias("text"))
     rows = stage(fingerprints(rows, "text").drop("text"), "fingerprints")
     first = stage(rows.groupBy(F.col("fingerprint").alias("code")).agg(F.min("id").alias("first")), "codes")
-    tree = stage(components(links(first.select("code"))), "classes").withColumnRenamed("node", "code")
+    tree = stage(components(links(first.select("code"))), "classes")
+    known = labelled(rows.select("doc", F.col("fingerprint").alias("code")), first, tree)
+    return known.select("doc", F.col("code").alias("fingerprint"), "component_id")
+
+
+def labelled(rows: DataFrame, first: DataFrame, tree: DataFrame) -> DataFrame:
+    """(doc, code, component_id) of rows (doc, code): the smallest id of their class. first: (code, first), the
+    smallest id of each code; tree: (node, root) of the codes with links."""
+    tree = tree.withColumnRenamed("node", "code")
     least = tree.join(first, "code").groupBy("root").agg(F.min("first").alias("class_first"))
     moved = tree.join(least, "root").select("code", "class_first")
-    known = first.join(moved, "code", "left").select(F.col("code").alias("fingerprint"), F.coalesce("class_first", "first").alias("component_id"))
-    return rows.join(known, "fingerprint").select("doc", "fingerprint", "component_id")
+    known = first.join(moved, "code", "left").select("code", F.coalesce("class_first", "first").alias("component_id"))
+    return rows.join(known, "code").select("doc", "code", "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest id; of rows with that id, one. Classes
+def first_of_each(docs: DataFrame, classes_of: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each class that ``classes_of(docs, keep)`` finds, the one with the smallest id; of rows with that id, one. Classes
     in which no row has an id keep one row for each distinct text."""
     digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    classes = near_duplicates(docs.withColumn("__digest", digest), ("doc_id", "__digest")).select("doc.*", "component_id")
+    classes = classes_of(docs.withColumn("__digest", digest), ("doc_id", "__digest")).select("doc.*", "component_id")
     own = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     own = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__digest")).alias("t"))
     own = stage(own.agg(F.min("__digest").alias("digest"), F.count("*").alias("rows")), "kept")

@@ -1,0 +1,68 @@
+import random
+
+import corpus_pipeline
+import pytest
+from prevalo.llm import shingles, simhash
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_classes(rows):
+    """The smallest id of the class of each (id, text), by comparing all pairs."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (k, _), r in zip(rows, root, strict=True):
+        if k is not None:
+            least[r] = min(k, least.get(r, k))
+    return [least.get(r) for r in root]
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = rng.choice("abcdefgh") * rng.randint(1, 9)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [shingles.CROWD, 700])
+def test_classes_equal_those_of_all_pairs(spark, documents, crowd):
+    """Also where groups are dealt into parts."""
+    rng = random.Random(1)
+    bases = [["".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(n)] for n in (60, 150, 400)]
+    rows = [(i, edited(rng, base := rng.choice(bases), rng.randint(0, len(base) // 15))) for i in range(150)]
+    rows += [(200, None), (199, ""), (201, " \n"), (202, "One two"), (203, "one  TWO"), (203, "one  TWO"), (None, "one two"), (None, "never seen")]
+    got = sorted((str(r.doc), r.component_id) for r in shingles.near_copies(documents(rows), ("doc_id", "text"), crowd=crowd).collect())
+    docs = documents(rows).select("doc_id", "text").collect()
+    assert got == sorted((str(r), c) for r, c in zip(docs, plain_classes(rows), strict=True))
+    assert len(set(plain_classes(rows))) < 120
+
+
+def test_minima_keep_pairs_at_the_edge():
+    rng = random.Random(2)
+    for _ in range(300):
+        both = [rng.getrandbits(64) for _ in range(rng.choice([8, 80, 800]))]
+        rest = [rng.getrandbits(64) for _ in range(len(both) // 4)]
+        a, b = (shingles.np.unique(shingles.np.array(x, "u8")) for x in (both + rest[::2], both + rest[1::2]))
+        assert set(shingles.keys_of(a)) & set(shingles.keys_of(b))
+
+
+def test_stage_drops_near_copies_that_are_not_equal(spark, text_dir):
+    """Documents 177 and 145 of the test table are copies of 1 and 6 with a similarity of 0.83."""
+    docs = spark.read.parquet(f"{text_dir}/documents.parquet")
+    rows = docs.collect()
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, text_dir)
+    want = {r.doc_id for r, c in zip(rows, plain_classes([(r.doc_id, r.text) for r in rows]), strict=True) if r.doc_id == c}
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert {1, 6} <= want and not {145, 177} & want
+    assert {145, 177} <= {r.doc_id for r in simhash.first_of_each(docs).collect()}
+
+
+def test_empty_table(documents):
+    assert shingles.near_copies(documents([])).count() == 0
