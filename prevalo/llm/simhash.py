@@ -229,32 +229,32 @@ def links(codes: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """(doc, fingerprint, component_id) of each row; ``keep`` names what goes into doc."""
+    """(doc, fingerprint, component_id, root) of each row; ``keep`` names what goes into doc."""
     rows = docs.select(F.struct(*keep).alias("doc"), F.col("doc_id").alias("id"), F.col(text).alias("text"))
     rows = stage(fingerprints(rows, "text").drop("text"), "fingerprints")
     first = stage(rows.groupBy(F.col("fingerprint").alias("code")).agg(F.min("id").alias("first")), "codes")
     tree = stage(components(links(first.select("code"))), "classes")
     known = labelled(rows.select("doc", F.col("fingerprint").alias("code")), first, tree)
-    return known.select("doc", F.col("code").alias("fingerprint"), "component_id")
+    return known.select("doc", F.col("code").alias("fingerprint"), "component_id", "root")
 
 
 def labelled(rows: DataFrame, first: DataFrame, tree: DataFrame) -> DataFrame:
-    """(doc, code, component_id) of rows (doc, code): the smallest id of their class. first: (code, first), the
-    smallest id of each code; tree: (node, root) of the codes with links."""
+    """(doc, code, component_id, root) of rows (doc, code): the smallest id and the smallest code of their class. first: (code,
+    first), the smallest id of each code; tree: (node, root) of the codes with links. Classes that share an id share component_id, never root."""
     tree = tree.withColumnRenamed("node", "code")
     least = tree.join(first, "code").groupBy("root").agg(F.min("first").alias("class_first"))
-    moved = tree.join(least, "root").select("code", "class_first")
-    known = first.join(moved, "code", "left").select("code", F.coalesce("class_first", "first").alias("component_id"))
-    return rows.join(known, "code").select("doc", "code", "component_id")
+    moved = tree.join(least, "root").select("code", "class_first", "root")
+    known = first.join(moved, "code", "left").select("code", F.coalesce("class_first", "first").alias("component_id"), F.coalesce("root", "code").alias("root"))
+    return rows.join(known, "code").select("doc", "code", "component_id", "root")
 
 
 def first_of_each(docs: DataFrame, classes_of: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One document of each class that ``classes_of(docs, keep)`` finds, the one with the smallest id; of rows with that id, one. Classes
     in which no row has an id keep one row for each distinct text."""
     digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    classes = classes_of(docs.withColumn("__digest", digest), ("doc_id", "__digest")).select("doc.*", "component_id")
+    classes = classes_of(docs.withColumn("__digest", digest), ("doc_id", "__digest")).select("doc.*", "component_id", "root")
     own = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    own = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__digest")).alias("t"))
+    own = own.groupBy("root", "component_id", F.when(F.col("component_id").isNull(), F.col("__digest")).alias("t"))
     own = stage(own.agg(F.min("__digest").alias("digest"), F.count("*").alias("rows")), "kept")
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), digest.alias("own"))
     kept = whole.join(own, F.col("id").eqNullSafe(F.col("component_id")) & (F.col("own") == F.col("digest")))
