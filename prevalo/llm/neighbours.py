@@ -15,7 +15,7 @@ are merged for each query. Copies of a vector are indexed once, with the smalles
 
 Cases: vectors that are null, zero, or have a null or non-finite component take no part, nor do rows with a null id or a number of
 components other than the most frequent one; queries with no candidates have no rows; an id's own rows are never its
-candidates; repeated rows are candidates each; an empty table gives an empty result. Other columns are ignored.
+candidates; repeated rows are candidates each and one query together; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,10 +166,11 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == sizes[0]["dim"])
 
-    # The smallest ids of each distinct vector: one more than asked for, as one may be the query's own.
-    copies = Window.partitionBy("embedding").orderBy("vec_id")
-    first = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= count + 1)
-    distinct = first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # The smallest ids of each distinct vector, each as often as it has rows, up to the count: one id more than asked for, as one may be the query's own.
+    copies = rows.groupBy("embedding", "vec_id").agg(F.count("*").alias("rows"))
+    first = copies.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= count + 1)
+    each = F.array_repeat("vec_id", F.least("rows", F.lit(count)).cast("int"))
+    distinct = first.groupBy("embedding").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("ids"))
     distinct = stage(distinct, "vectors")
 
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -177,7 +178,7 @@ def search(
     sample = distinct.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("embedding").toPandas()
     forest = spark.sparkContext.broadcast(fit_forest(np.array(sample["embedding"].tolist(), np.float64), longest, trees, depth))
 
-    asked = rows.where("is_query").select("vec_id", "embedding")
+    asked = rows.where("is_query").select("vec_id", "embedding").distinct()
     blocks, parts = -(-total // block), -(-asked.count() // QUERIES)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
