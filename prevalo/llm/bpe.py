@@ -3,8 +3,8 @@
 Merge lists have a *sufficient lookahead*: what stands more than so many bytes behind a place
 cannot change the tokens that end before it. ``sufficient_lookahead`` computes such a bound from
 the merge list alone. The encoder keeps a buffer of a few times that length, merges it, emits the
-tokens that end further than the lookahead from its open end, and drops their bytes; memory
-does not depend on the length of the text. The decoder feeds token bytes to an incremental
+tokens that end further than the lookahead from its open end, and drops their bytes. Only pieces of
+the split longer than ``STRIDE`` bytes are streamed so; a document's pieces and ids are held whole. The decoder feeds token bytes to an incremental
 UTF-8 state machine and emits text piece by piece.
 
 Null texts are empty texts: no tokens, empty decoded text. Repeated rows each give a row. Other
