@@ -1,4 +1,9 @@
-"""The corpus pipeline: language, near copies, repeated passages, mixing, tokens."""
+"""The corpus pipeline: language, near copies, repeated passages, mixing, tokens.
+
+Every stage takes documents with null texts, languages, sources and ids, empty and very long texts, repeated rows and further columns,
+also those with names that an operator uses inside: the rows of a stage's result are rows of its input, with all their columns. What
+becomes of each case is stated in the operator's module. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import language, mixing, repeats, shingles, simhash
+from prevalo.llm import language, mixing, repeats, simhash
 from prevalo.llm.common import stage, table
 from prevalo.llm.queries import token_digests
 
@@ -25,8 +30,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.first_of_each(docs, shingles.near_copies)
+    """One document of each class of near copies: fingerprints of three-word shingles, linked at two or fewer bits."""
+    return simhash.first_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
