@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import decontamination
+from prevalo.llm import decontamination, negatives
 from prevalo.llm.common import table
 
 
@@ -39,5 +39,31 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-SEARCH_QUERIES = {"op11_decontamination": op11_decontamination}
-SEARCH_SQL = {"op11_decontamination": OP11_SQL}
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+OP12_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+heads AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 6),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT s.anchor_id, s.vec_id AS positive_id, s.score AS positive_score FROM scored s JOIN heads h ON s.vec_id = h.vec_id WHERE s.same
+  QUALIFY row_number() OVER (PARTITION BY s.anchor_id ORDER BY s.vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER o)::INT AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+WHERE 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER o <= 3
+"""
+
+SEARCH_QUERIES = {"op11_decontamination": op11_decontamination, "op12_negatives": op12_negatives}
+SEARCH_SQL = {"op11_decontamination": OP11_SQL, "op12_negatives": OP12_SQL}
