@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prevalo.llm import bpe, chat, language, mixing, neighbours, quality_model, quality_rules, repeats, sharding, simhash
 from prevalo.llm.common import python_workers, table
+from prevalo.llm.search_queries import SEARCH_QUERIES, SEARCH_SQL
 
 
 def tokenizer_path() -> str:
@@ -170,5 +171,6 @@ LLM_QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_repeats": op10_repeats,
+    **SEARCH_QUERIES,
 }
-LLM_SQL = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
+LLM_SQL = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL, **SEARCH_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevalo.llm import decontamination, negatives
+from prevalo.llm import decontamination, negatives, ranking
 from prevalo.llm.common import table
 
 
@@ -65,5 +65,32 @@ WINDOW o AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.ve
 QUALIFY row_number() OVER o <= 3
 """
 
-SEARCH_QUERIES = {"op11_decontamination": op11_decontamination, "op12_negatives": op12_negatives}
-SEARCH_SQL = {"op11_decontamination": OP11_SQL, "op12_negatives": OP12_SQL}
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM doc_terms GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS repeats FROM item_terms GROUP BY item_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scored AS (
+  SELECT a.item_id, t.doc_id, sum(a.repeats * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 75 + ((75 * s.n * o.docs) // o.terms)))))::BIGINT AS score
+  FROM asked a JOIN tf t ON a.term = t.term JOIN weights w ON w.term = a.term JOIN sizes s ON s.doc_id = t.doc_id, totals o
+  GROUP BY a.item_id, t.doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+SEARCH_QUERIES = {"op11_decontamination": op11_decontamination, "op12_negatives": op12_negatives, "op13_ranking": op13_ranking}
+SEARCH_SQL = {"op11_decontamination": OP11_SQL, "op12_negatives": OP12_SQL, "op13_ranking": OP13_SQL}

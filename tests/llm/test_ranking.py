@@ -1,0 +1,111 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from prevalo.llm.ranking import Best, Search, divided, impacts, rank, search_block, subgroups, weight
+
+from tests.llm.test_decontamination import plain_words
+from tests.llm.test_search_queries import same_as_duckdb
+
+ITEMS = "item_id long, text string"
+
+
+def plain(docs, items, count=10):
+    """Every document scored for every item."""
+    terms = [(i, Counter(plain_words(t))) for i, t in docs]
+    sizes = [sum(c.values()) for _, c in terms]
+    n, total = sum(s > 0 for s in sizes), sum(sizes)
+    df = Counter(t for _, c in terms for t in c)
+    out = []
+    for item, text in sorted(set(items), key=str):
+        asked = Counter(plain_words(text))
+        scored = []
+        for (doc, c), size in zip(terms, sizes, strict=True):
+            m = 25 + 75 * size * n // max(1, total)
+            score = sum(
+                k * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, k in asked.items() if c[t]
+            )
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, r + 1, doc, -s) for r, (s, _, _, doc) in enumerate(sorted(scored)[:count])]
+    return sorted(out, key=str)
+
+
+def check(spark, documents, docs, items, **more):
+    got = rank(documents(docs), spark.createDataFrame(items, ITEMS), **more)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=str) == plain(docs, items)
+
+
+def corpus(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)] + ["Été", "日本"]
+    often = [1 / (k + 1) for k in range(len(words))]
+    say = lambda k: " ".join(rng.choices(words, often, k=k))
+    docs = [(i, say(rng.choice([0, 3, 20, 80, 300]))) for i in range(n)]
+    items = [(i, say(rng.choice([1, 5, 20, 40]))) for i in range(25)]
+    # Documents with an item's words stand out, and copies tie.
+    docs += [(n + i, say(20) + " " + items[i][1].upper()) for i in range(10)] + [(n + 20 + i, docs[i % 3][1]) for i in range(40)]
+    return docs, items
+
+
+@pytest.mark.parametrize(("terms", "sample"), [(1 << 18, 4096), (60, 16)])
+def test_against_brute_force(spark, documents, terms, sample):
+    docs, items = corpus(400, 3)
+    check(spark, documents, docs, items, terms=terms, sample=sample)
+
+
+def test_nulls_ties_and_repeated_rows(spark, documents):
+    docs = [(i, "red green blue") for i in range(30, 0, -1)] + [(None, "red green blue"), (5, "red green blue"), (40, None), (41, "?!"), (42, "red " * 5000)]
+    docs += [(100 + i, f"other text {i}") for i in range(50)] + [(-3, "violet")]
+    items = [(1, "RED, green"), (1, "red green"), (1, "blue"), (2, None), (3, "?"), (4, "unseen"), (None, "violet other"), (5, "violet red"), (5, "violet red")]
+    check(spark, documents, docs, items)
+
+
+def test_empty_tables(spark, documents):
+    for docs, items in (([], [(1, "a")]), ([(1, "a b")], []), ([(1, "a b")], [(1, "")]), ([(1, None)], [(1, "a")]), ([(1, "a")], [(1, "a")])):
+        check(spark, documents, docs, items)
+
+
+def test_long_text(spark, documents):
+    docs = [(1, "needle " + "hay " * 300_000 + "needle"), (2, "needle hay"), (3, "straw")]
+    check(spark, documents, docs, [(1, "needle"), (2, "hay needle straw")])
+
+
+def test_blocks_are_skipped_and_nothing_is_lost():
+    """Summaries bound their documents: with thresholds set, most documents are skipped and all above are found."""
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.02, (1500, 120)) + rng.poisson(3.0, (1500, 120)) * (rng.integers(0, 30, (1500, 1)) == np.arange(120) // 4)
+    n = counts.sum(axis=1)
+    matrix = np.where(counts > 0, impacts(counts, n[:, None] + 0 * counts, 1500, int(n.sum())), 0).astype(np.int32)
+    weights = {t: weight(1500, int((counts[:, t] > 0).sum())) for t in range(120)}
+    items = [(k, {int(t): 1 for t in range(4 * k, 4 * k + 4)} | {int(t): 1 for t in rng.choice(120, 6)}) for k in range(30)]
+    (group,) = subgroups(items, weights)
+    scores = matrix[:, group.terms].astype(np.int64) @ group.weights
+    floors = np.sort(scores, axis=0)[-10]
+    best = Best(floors.copy())
+    search_block(group, matrix[:, group.terms], np.arange(1500), np.zeros(1500, bool), best)
+    for k in range(30):
+        want = sorted((-s, i) for i, s in enumerate(scores[:, k].tolist()))[:10]
+        assert [(s, i) for s, _, i in best.rows[k].T.tolist()] == want
+    assert best.skipped > best.scored > 0
+
+
+def test_subgroups_and_divided_lists():
+    items = [(0, {1: 1, 2: 1}), (1, {3: 2}), (2, {9: 1}), (3, {4: 1, 5: 1, 6: 1})]
+    groups = subgroups(items, {t: 10 for t in range(1, 7)}, width=3)
+    assert [(g.items.tolist(), g.terms.tolist()) for g in groups] == [([0, 1], [1, 2, 3]), ([3], [4, 5, 6])]
+    assert groups[0].weights.tolist() == [[10, 0], [10, 0], [0, 20]]
+    near = np.repeat(np.eye(4), 8, axis=0)
+    assert [len(set(divided(near)[8 * k : 8 * k + 8])) for k in range(4)] == [1] * 4
+
+
+def test_search_keeps_to_batches():
+    search = Search([], np.ones(2, np.int64), 5, 10)
+    assert [r.shape for r in search.run(iter([])).rows] == [(3, 0), (3, 0)]
+
+
+def test_query_against_sql(spark, text_dir):
+    same_as_duckdb(spark, text_dir, "op13_ranking")
