@@ -29,13 +29,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from prevalo.llm.common import WORD, give_back, python_workers
@@ -43,7 +41,7 @@ from prevalo.llm.suffixes import Hashed, sort_suffixes
 
 SPAN, GRAM = 50, 24
 #: Bytes of text in a block, and of those whose anchors meet in a bucket, on average.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Stretches whose anchors are found at a time.
 CHUNK = 1 << 18
 #: Places with one anchor beyond which its stretches are dealt out by their own hashes.
@@ -322,7 +320,7 @@ def _classes(rows: pa.Table) -> pa.Table:
     return _parts([(bucket, blocks[k], pack(*(c[order[s]] for c in runs))) for k, s in _slices(block[order])])
 
 
-def _remove(buckets: int, schema: pa.Schema):
+def _remove(buckets: int, schema: pa.Schema, readable: bool):
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -338,13 +336,16 @@ def _remove(buckets: int, schema: pa.Schema):
         sizes = pa.array((block.stops - block.starts).tolist(), pa.int64())
         give_back()
         columns = [doc, sizes, pa.array(removed, schema.field("spans").type), pa.array(kept, pa.binary())]
+        if readable:
+            columns[-1] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         return pa.Table.from_arrays(columns, schema=schema)
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """(doc, n_bytes, spans, kept): removed spans (start, stop) in bytes of each text, and the bytes that are left."""
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", readable: bool = False) -> DataFrame:
+    """(doc, n_bytes, spans, kept): removed spans (start, stop) in bytes of each text, and the bytes that are left. readable: kept is
+    a string, without the rest of characters of which a byte is removed."""
     spark = docs.sparkSession
     python_workers(spark)
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
@@ -361,24 +362,19 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
     contexts = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(buckets), PARTS)
     classes = contexts.groupBy("bucket").applyInArrow(_classes, PARTS).withColumn("step", F.lit(4))
     result = "doc " + docs.select(F.struct(*keep).alias("doc")).schema["doc"].dataType.simpleString()
-    result += ", n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    result += ", n_bytes long, spans array<struct<start: long, stop: long>>, kept " + ("string" if readable else "binary")
     schema = to_arrow_schema(spark.createDataFrame([], result).schema)
     answers = shared.unionByName(classes)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(buckets, schema), result)
-
-
-@F.pandas_udf(T.StringType())
-def _readable(kept: pd.Series) -> pd.Series:
-    return pd.Series([k.decode("utf-8", "ignore") for k in kept], dtype=object)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(buckets, schema, readable), result)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Documents without their repeated passages; those of which no word is left go. A character of which
     a byte is removed goes as a whole. ``n_chars``, if there is one, follows the text; a text that loses nothing stays as it is."""
     others = tuple(c for c in docs.columns if c != "text")
-    kept = F.when(F.col("n_bytes") > 0, _readable("kept"))
-    left = remove_repeats(docs.withColumn("null_text", F.col("text").isNull()), (*others, "null_text"))
-    left = left.withColumn("text", F.when(~F.col("doc.null_text"), F.coalesce(kept, F.lit("")))).where((F.size("spans") == 0) | F.col("text").rlike(WORD))
+    flag = max(docs.columns, key=len) + "_null"
+    left = remove_repeats(docs.withColumn(flag, F.col("text").isNull()), (*others, flag), readable=True)
+    left = left.withColumn("text", F.when(~F.col(f"doc.`{flag}`"), F.col("kept"))).where((F.size("spans") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.size("spans") > 0, F.length("text").cast("bigint"))
     columns = [F.col("text") if c == "text" else F.coalesce(length, F.col("doc.n_chars")).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in docs.columns]
     return left.select(*columns)
