@@ -185,10 +185,23 @@ SHARED = {
       FROM SEVERAL_REST r JOIN VERS v ON r.PSID = v.PSID JOIN VERSQ q ON r.PSID = q.PSID
       WHERE v.GEBJAHR IS NOT NULL AND q.GESCHLECHT IN (1, 2)
       GROUP BY ALL""",
+    "CONFIRMED": """
+      SELECT PSID, VSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE DIAGSICH = 'G'
+      UNION ALL SELECT PSID, VSID, ICDKH_CODE, BJAHR FROM KHDIAG""",
+    "EVENTS": "SELECT PSID, ICD_CODE, BJAHR, count(*) AS N_ROWS FROM CONFIRMED GROUP BY ALL",
+    "QUARTERS": "SELECT DISTINCT PSID, VERSQ // 10 * 4 + VERSQ % 10 - 1 AS Q FROM VERSQ WHERE VERSQ % 10 BETWEEN 1 AND 4",
+    "CASE_TYPES": """
+      SELECT y.*, CASE WHEN YEARS_SINCE <= 1 THEN 'PREVALENT'
+        WHEN (SELECT count(*) FROM QUARTERS q WHERE q.PSID = y.PSID AND q.Q BETWEEN y.BJAHR * 4 - 4 AND y.BJAHR * 4 - 1) < 4
+        THEN 'UNOBSERVED' ELSE 'INCIDENT' END AS CASE_TYPE
+      FROM (SELECT PSID, ICD_CODE, BJAHR, BJAHR - lag(BJAHR) OVER (PARTITION BY PSID, ICD_CODE ORDER BY BJAHR) AS YEARS_SINCE
+            FROM EVENTS) y""",
 }
 
 # Which shared expressions each one needs, besides the claims tables.
 NEEDS = {
+    "EVENTS": ["CONFIRMED"],
+    "CASE_TYPES": ["EVENTS", "QUARTERS"],
     "REST": ["CASES"],
     "DEMO_CASES": ["CASES", "HOMES", "AGREED"],
     "DEMO_REST": ["REST", "HOMES", "AGREED"],
@@ -278,9 +291,84 @@ REST_FOUND = "\n UNION \n".join(
 
 LISTED = """SELECT DISTINCT regexp_replace(ICD, '^(...)(.+)$', '\\1.\\2') AS LISTED_CODE FROM CLAIM"""
 
+_QUARTER = "VERSQ // 10 * 4 + VERSQ % 10 - 1"
+
+
+def _quarter_id(number: str) -> str:
+    return f"CAST({number} // 4 * 10 + {number} % 4 + 1 AS INT)"
+
+
+def _spells(key: str, quarters: str, gap: int) -> str:
+    """Quarters with the number of their spell, which more than ``gap`` missing quarters end."""
+    order = f"(PARTITION BY {key} ORDER BY Q)"
+    return f"""SELECT {key}, Q, CAST(sum(NEW) OVER {order} AS INT) AS SPELL FROM (
+                 SELECT *, CASE WHEN Q - lag(Q) OVER {order} <= {gap + 1} THEN 0 ELSE 1 END AS NEW FROM ({quarters}))"""
+
+
+_SEX_AS_OF = """
+  SELECT d.*, q.VERSQ, q.GESCHLECHT FROM (SELECT PSID, VSID, ICD_CODE, BJAHR, count(*) AS N_ROWS FROM CONFIRMED GROUP BY ALL) d
+  ASOF LEFT JOIN (SELECT * FROM VERSQ WHERE GESCHLECHT IN (1, 2)) q
+  ON d.PSID = q.PSID AND d.VSID = q.VSID AND d.BJAHR * 10 + 4 >= q.VERSQ"""
+
 # --- one statement per query: (shared expressions, statement) --------------------------------
 
 STATEMENTS: dict[str, tuple[list[str], str]] = {
+    "insured_spells": (
+        ["QUARTERS"],
+        f"""SELECT PSID, CAST(row_number() OVER (PARTITION BY PSID ORDER BY min(Q)) AS INT) AS SPELL,
+              {_quarter_id("min(Q)")} AS SPELL_START, {_quarter_id("max(Q)")} AS SPELL_END, count(*) AS N_QUARTERS
+            FROM (SELECT PSID, Q, Q - row_number() OVER (PARTITION BY PSID ORDER BY Q) AS RUN FROM QUARTERS)
+            GROUP BY PSID, RUN""",
+    ),
+    "insured_spells_with_gaps": (
+        [],
+        f"""SELECT PSID, VSID, SPELL, {_quarter_id("min(Q)")} AS SPELL_START, {_quarter_id("max(Q)")} AS SPELL_END, count(*) AS N_QUARTERS
+            FROM ({_spells("PSID, VSID", f"SELECT DISTINCT PSID, VSID, {_QUARTER} AS Q FROM VERSQ", 2)}) GROUP BY ALL""",
+    ),
+    "diagnosis_spells": (
+        ["EVENTS", "QUARTERS"],
+        f"""SELECT d.PSID, d.ICD_CODE, d.BJAHR, d.N_ROWS, s.SPELL, {_quarter_id("s.A")} AS SPELL_START, {_quarter_id("s.Z")} AS SPELL_END,
+              CAST(least(d.BJAHR * 4 + 3, s.Z) - greatest(d.BJAHR * 4, s.A) + 1 AS INT) AS QUARTERS_IN_YEAR
+            FROM EVENTS d JOIN (
+              SELECT PSID, SPELL, min(Q) AS A, max(Q) AS Z FROM ({_spells("PSID", "SELECT * FROM QUARTERS", 1)}) GROUP BY ALL) s
+            ON d.PSID = s.PSID AND s.A <= d.BJAHR * 4 + 3 AND s.Z >= d.BJAHR * 4""",
+    ),
+    "person_quarters": (
+        ["QUARTERS"],
+        """SELECT CAST(Q // 4 AS INT) AS BJAHR, count(DISTINCT PSID) AS N_PERSONS, count(*) AS PERSON_QUARTERS
+           FROM QUARTERS GROUP BY ALL""",
+    ),
+    "master_as_of": (
+        ["EVENTS"],
+        """SELECT d.*, v.MASTER_YEAR, v.GEBJAHR, v.PLZ FROM EVENTS d ASOF LEFT JOIN (
+             SELECT PSID, BJAHR AS MASTER_YEAR, min(GEBJAHR) AS GEBJAHR, min(PLZ) AS PLZ FROM VERS GROUP BY ALL) v
+           ON d.PSID = v.PSID AND d.BJAHR > v.MASTER_YEAR""",
+    ),
+    "sex_as_of": (["CONFIRMED"], _SEX_AS_OF),
+    "sex_as_of_in_bins": (["CONFIRMED"], _SEX_AS_OF),
+    "case_types": (
+        ["EVENTS"],
+        """SELECT PSID, ICD_CODE, BJAHR, YEARS_SINCE, CASE WHEN YEARS_SINCE <= 2 THEN 'PREVALENT' ELSE 'INCIDENT' END AS CASE_TYPE
+           FROM (SELECT *, BJAHR - lag(BJAHR) OVER (PARTITION BY PSID, ICD_CODE ORDER BY BJAHR) AS YEARS_SINCE FROM EVENTS)""",
+    ),
+    "case_types_observed": (["CASE_TYPES"], "SELECT * FROM CASE_TYPES"),
+    "episodes": (
+        ["EVENTS"],
+        """SELECT PSID, ICD_CODE, EPISODE, min(BJAHR) AS FIRST_YEAR, max(BJAHR) AS LAST_YEAR, count(*) AS N_YEARS FROM (
+             SELECT *, CAST(sum(NEW) OVER (PARTITION BY PSID, ICD_CODE ORDER BY BJAHR) AS INT) AS EPISODE FROM (
+               SELECT *, CASE WHEN BJAHR - lag(BJAHR) OVER (PARTITION BY PSID, ICD_CODE ORDER BY BJAHR) <= 2 THEN 0 ELSE 1 END AS NEW
+               FROM EVENTS))
+           GROUP BY PSID, ICD_CODE, EPISODE""",
+    ),
+    "incidence": (
+        ["CASE_TYPES"],
+        """SELECT c.ICD_CODE, c.BJAHR, count(*) FILTER (CASE_TYPE = 'INCIDENT') AS N_INCIDENT,
+             count(*) FILTER (CASE_TYPE = 'PREVALENT') AS N_PREVALENT, count(*) FILTER (CASE_TYPE = 'UNOBSERVED') AS N_UNOBSERVED,
+             any_value(p.N) AS PERSON_QUARTERS,
+             count(*) FILTER (CASE_TYPE = 'INCIDENT') * 4000.0::DOUBLE / any_value(p.N)::DOUBLE AS PER_1000_PERSON_YEARS
+           FROM CASE_TYPES c LEFT JOIN (SELECT Q // 4 AS BJAHR, count(*) AS N FROM QUARTERS GROUP BY ALL) p USING (BJAHR)
+           GROUP BY c.ICD_CODE, c.BJAHR""",
+    ),
     "cohort_exact": (["RARE"], "SELECT * FROM RARE"),
     "cohort_prefix": (
         [],

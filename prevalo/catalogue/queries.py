@@ -440,6 +440,66 @@ def dm_sex_share_persons(c: Claims) -> DataFrame:
     return op.sex_share(_diagnosed(c, RARE), dedupe=True)
 
 
+# --- time: spells, states, incidence --------------------------------------------------------
+
+
+@registered
+def insured_spells(c: Claims) -> DataFrame:
+    return op.insured_spells(c.versq)
+
+
+@registered
+def insured_spells_with_gaps(c: Claims) -> DataFrame:
+    return op.insured_spells(c.versq, op.CONTRACT, max_gap=2)
+
+
+@registered
+def diagnosis_spells(c: Claims) -> DataFrame:
+    return op.diagnosis_spells(c.diagnoses, c.versq, max_gap=1)
+
+
+@registered
+def person_quarters(c: Claims) -> DataFrame:
+    return op.person_quarters(c.versq)
+
+
+@registered
+def master_as_of(c: Claims) -> DataFrame:
+    """What the year before, or the latest one with a master row, said."""
+    return op.master_as_of(c.diagnoses, c.vers, allow_equal=False)
+
+
+@registered
+def sex_as_of(c: Claims) -> DataFrame:
+    return op.sex_as_of(c.diagnoses, c.versq)
+
+
+@registered
+def sex_as_of_in_bins(c: Claims) -> DataFrame:
+    """The same by the form that divides a key by time."""
+    return op.sex_as_of(c.diagnoses, c.versq, bin_width=20)
+
+
+@registered
+def case_types(c: Claims) -> DataFrame:
+    return op.classify_cases(c.diagnoses, 2)
+
+
+@registered
+def case_types_observed(c: Claims) -> DataFrame:
+    return op.classify_cases(c.diagnoses, 1, c.versq)
+
+
+@registered
+def episodes(c: Claims) -> DataFrame:
+    return op.episodes(c.diagnoses, 1)
+
+
+@registered
+def incidence(c: Claims) -> DataFrame:
+    return op.incidence(op.classify_cases(c.diagnoses, 1, c.versq), c.versq)
+
+
 # --- code lists, inspection, dictionary ---------------------------------------------------
 
 

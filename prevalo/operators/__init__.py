@@ -1,5 +1,6 @@
 """Cohort operators: DataFrame in, DataFrame out."""
 
+from prevalo.operators.asof import as_of, master_as_of, sex_as_of
 from prevalo.operators.cohort import (
     CONTRACT,
     PERSON,
@@ -43,6 +44,8 @@ from prevalo.operators.distributions import (
     totals,
 )
 from prevalo.operators.geography import plz_case_control, plz_distribution, plz_list
+from prevalo.operators.incidence import classify_cases, episodes, incidence
+from prevalo.operators.intervals import diagnosis_spells, insured_spells, interval_join, person_quarters
 from prevalo.operators.occurrence import (
     code_difference,
     code_occurrence,
@@ -56,43 +59,53 @@ from prevalo.operators.summaries import age_histogram, diagnosed_persons, diagno
 __all__ = [
     "CASE_RULES",
     "CONTRACT",
+    "DemographicRules",
     "PERSON",
     "REST_RULES",
-    "DemographicRules",
     "age_histogram",
     "age_sex_case_control",
     "age_sex_distribution",
+    "as_of",
+    "classify_cases",
     "code_difference",
     "code_occurrence",
     "cohort",
     "cohort_for_list",
     "cohort_size",
     "column_entries",
-    "contract_years",
     "comorbidities",
     "comorbidity_row_counts",
+    "contract_years",
     "demographics",
     "describe",
     "diagnosed_persons",
     "diagnosis_counts",
+    "diagnosis_spells",
+    "episodes",
     "filter_codes",
     "first_sex",
     "fixed_year_rules",
     "for_persons",
+    "incidence",
     "insured",
+    "insured_spells",
+    "interval_join",
     "is_confirmed",
     "label_occurrences",
     "labelled_codes",
+    "master_as_of",
     "occurrence_age_sex",
     "occurrence_for_cohort_demographics",
     "paired_demographics",
     "person_demographics",
+    "person_quarters",
     "plz_case_control",
     "plz_distribution",
     "plz_list",
     "prefix_codes",
     "profiles",
     "remaining",
+    "sex_as_of",
     "sex_by_consensus",
     "sex_share",
     "table_entries",
