@@ -305,6 +305,34 @@ def _spells(key: str, quarters: str, gap: int) -> str:
                  SELECT *, CASE WHEN Q - lag(Q) OVER {order} <= {gap + 1} THEN 0 ELSE 1 END AS NEW FROM ({quarters}))"""
 
 
+def _suppressed(table: str, rows: str, columns: str, layers: list[str], value: str, k: int) -> str:
+    """Margins by grouping sets; for each small cell the cheapest of all rectangles with it as a corner."""
+    layer = ", ".join(layers) + ", " if layers else ""
+    where = " AND ".join(f"{{0}}.{c} = {{1}}.{c}" for c in layers) or "true"
+    own = ", ".join(f"a.{c}" for c in [*layers, "R", "C"])
+    corner = f"SELECT {layer}R, C FROM HIDDEN"
+    return f"""
+      WITH CELLS AS MATERIALIZED (
+        SELECT {layer}(grouping({rows}), {rows}) AS R, (grouping({columns}), {columns}) AS C, CAST(sum({value}) AS BIGINT) AS N,
+          grouping({rows}) + grouping({columns}) > 0 AS MARGIN
+        FROM ({table}) GROUP BY GROUPING SETS (({layer}{rows}, {columns}), ({layer}{rows}), ({layer}{columns}), ({", ".join(layers)}))),
+      PRICED AS MATERIALIZED (SELECT *, N BETWEEN 1 AND {k - 1} AS SMALL, CASE WHEN N BETWEEN 1 AND {k - 1} OR NOT MARGIN THEN 0 ELSE 1 END AS M,
+        CASE WHEN N BETWEEN 1 AND {k - 1} THEN 0 ELSE N END AS V FROM CELLS),
+      CHOSEN AS (
+        SELECT {own}, d.R AS R2, d.C AS C2 FROM PRICED a
+        JOIN PRICED b ON {where.format("a", "b")} AND a.R = b.R AND a.C <> b.C
+        JOIN PRICED c ON {where.format("a", "c")} AND a.C = c.C AND a.R <> c.R
+        JOIN PRICED d ON {where.format("a", "d")} AND d.R = c.R AND d.C = b.C
+        WHERE a.SMALL AND b.N > 0 AND c.N > 0 AND d.N > 0
+        QUALIFY row_number() OVER (PARTITION BY {own} ORDER BY b.M + c.M + d.M, b.V + c.V + d.V, d.C, d.R) = 1),
+      HIDDEN AS (
+        SELECT {layer}R, C2 AS C FROM CHOSEN UNION SELECT {layer}R2, C FROM CHOSEN UNION SELECT {layer}R2, C2 FROM CHOSEN),
+      JUDGED AS (
+        SELECT *, CASE WHEN SMALL THEN 'PRIMARY' WHEN ({layer}R, C) IN ({corner.replace(layer + "R, C", f"({layer}R, C)")}) THEN 'SECONDARY' END AS HIDDEN FROM PRICED)
+      SELECT {layer}CASE WHEN R[1] = 1 THEN 'ALL' ELSE R[2] END AS {rows}, CASE WHEN C[1] = 1 THEN 'ALL' ELSE C[2] END AS {columns},
+        CASE WHEN HIDDEN IS NULL THEN N END AS {value}, HIDDEN FROM JUDGED"""
+
+
 _SEX_AS_OF = """
   SELECT d.*, q.VERSQ, q.GESCHLECHT FROM (SELECT PSID, VSID, ICD_CODE, BJAHR, count(*) AS N_ROWS FROM CONFIRMED GROUP BY ALL) d
   ASOF LEFT JOIN (SELECT * FROM VERSQ WHERE GESCHLECHT IN (1, 2)) q
@@ -313,6 +341,14 @@ _SEX_AS_OF = """
 # --- one statement per query: (shared expressions, statement) --------------------------------
 
 STATEMENTS: dict[str, tuple[list[str], str]] = {
+    "suppressed_age_sex": (
+        ["AGE_SEX_EIGHT"],
+        f"""SELECT * FROM ({_suppressed("SELECT * FROM AGE_SEX_EIGHT", "ALTERSGRUPPE", "GESCHLECHT_LABEL", ["ICDAMB_CODE", "BJAHR"], "CNT_D_PSID", 5)})""",
+    ),
+    "suppressed_code_sex": (
+        ["LISTED_COHORTS", "PERSONS", "FIRST_SEX"],
+        f"""SELECT * FROM ({_suppressed(f"SELECT ICD_CODE || ' ' || BJAHR AS CODE_YEAR, GESCHLECHT_LABEL, count(*) AS N FROM ({_fixed_year('LISTED_COHORTS', BANDS_ADULT)}) GROUP BY ALL", "CODE_YEAR", "GESCHLECHT_LABEL", [], "N", 10)})""",
+    ),
     "insured_spells": (
         ["QUARTERS"],
         f"""SELECT PSID, CAST(row_number() OVER (PARTITION BY PSID ORDER BY min(Q)) AS INT) AS SPELL,

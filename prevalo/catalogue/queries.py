@@ -500,6 +500,22 @@ def incidence(c: Claims) -> DataFrame:
     return op.incidence(op.classify_cases(c.diagnoses, 1, c.versq), c.versq)
 
 
+# --- publication: hidden counts -----------------------------------------------------------------
+
+
+@registered
+def suppressed_age_sex(c: Claims) -> DataFrame:
+    """Age by sex of every code and year, with margins, counts under 5 hidden."""
+    return op.suppress(age_sex_8band(c), "ALTERSGRUPPE", "GESCHLECHT_LABEL", ["ICDAMB_CODE", "BJAHR"])
+
+
+@registered
+def suppressed_code_sex(c: Claims) -> DataFrame:
+    """One table of all codes and years by sex, counts under 10 hidden."""
+    counts = op.totals(age_sex_by_code(c).withColumn("CODE_YEAR", F.concat_ws(" ", "ICD_CODE", "BJAHR")), ["CODE_YEAR", "GESCHLECHT_LABEL"], "N")
+    return op.suppress(counts, "CODE_YEAR", "GESCHLECHT_LABEL", value="N", k=10)
+
+
 # --- code lists, inspection, dictionary ---------------------------------------------------
 
 

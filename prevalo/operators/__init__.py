@@ -37,6 +37,7 @@ from prevalo.operators.diagnoses import (
     unified_diagnoses,
 )
 from prevalo.operators.dictionary import column_entries, table_entries
+from prevalo.operators.disclosure import suppress, suppress_report, with_margins
 from prevalo.operators.distributions import (
     age_sex_case_control,
     age_sex_distribution,
@@ -108,9 +109,12 @@ __all__ = [
     "sex_as_of",
     "sex_by_consensus",
     "sex_share",
+    "suppress",
+    "suppress_report",
     "table_entries",
     "top_labelled",
     "top_totals",
     "totals",
     "unified_diagnoses",
+    "with_margins",
 ]

@@ -1,0 +1,132 @@
+"""No hidden count follows from what is published."""
+
+import itertools
+import random
+from fractions import Fraction
+
+import pytest
+
+from prevalo import operators as op
+from tests.conftest import rows
+from tests.test_differential import plan_of
+
+TABLE = "CODE string, AGE string, SEX string, CNT_D_PSID long"
+
+
+def determined(hidden, lines):
+    """Those of the hidden cells whose values follow from the lines' sums by linear algebra: unit vectors in the row space."""
+    at = {c: i for i, c in enumerate(hidden)}
+    system = []
+    for line in lines:
+        row = [Fraction(0)] * len(hidden)
+        for cell, sign in line:
+            if cell in at:
+                row[at[cell]] += sign
+        system.append(row)
+    rank = 0
+    for c in range(len(hidden)):
+        pivot = next((i for i in range(rank, len(system)) if system[i][c]), None)
+        if pivot is None:
+            continue
+        system[rank], system[pivot] = system[pivot], system[rank]
+        system[rank] = [x / system[rank][c] for x in system[rank]]
+        for i in range(len(system)):
+            if i != rank and system[i][c]:
+                system[i] = [x - system[i][c] * y for x, y in zip(system[i], system[rank], strict=True)]
+        rank += 1
+    return [hidden[next(j for j, x in enumerate(r) if x)] for r in system[:rank] if sum(map(bool, r)) == 1]
+
+
+def lines_of(ages, sexes):
+    """Each row and column with its margin, and the margins with the grand total; each sums to 0 with these signs."""
+    for a in [*ages, "ALL"]:
+        yield [*(((a, s), 1) for s in sexes), ((a, "ALL"), -1)]
+    for s in [*sexes, "ALL"]:
+        yield [*(((a, s), 1) for a in ages), (("ALL", s), -1)]
+
+
+def random_table(draw, code):
+    ages, sexes = [f"a{i}" for i in range(draw.randint(1, 6))], [f"s{i}" for i in range(draw.randint(1, 4))]
+    return [(code, a, s, draw.choice([0, 1, 1, 2, 3, 4, 5, 9, 30, 120])) for a in ages for s in sexes if draw.random() < 0.85]
+
+
+@pytest.mark.parametrize("k", [2, 5, 10])
+def test_hidden_cells_do_not_follow(spark, k):
+    draw = random.Random(k)
+    table = [r for i in range(60) for r in random_table(draw, f"c{i}")]
+    found = op.suppress(spark.createDataFrame(table, TABLE), "AGE", "SEX", ["CODE"], k=k).collect()
+    secondary = 0
+    for code in {r.CODE for r in found}:
+        mine = {(r.AGE, r.SEX): r for r in found if r.CODE == code}
+        whole = {(a, s): n for c, a, s, n in table if c == code}
+        for (a, s), n in list(whole.items()):
+            for margin in ((a, "ALL"), ("ALL", s), ("ALL", "ALL")):
+                whole[margin] = whole.get(margin, 0) + n
+        assert set(mine) == set(whole)
+        for cell, r in mine.items():
+            assert (r.HIDDEN == "PRIMARY") == (0 < whole[cell] < k)
+            assert r.CNT_D_PSID == (None if r.HIDDEN else whole[cell])
+            secondary += r.HIDDEN == "SECONDARY"
+        hidden = sorted(c for c, r in mine.items() if r.HIDDEN)
+        assert determined(hidden, lines_of(sorted({a for a, _ in mine} - {"ALL"}), sorted({s for _, s in mine} - {"ALL"}))) == []
+        # One of the neighbours' tables shows another count for each, without one below 0.
+        assert all(whole[c] > 0 for c in hidden)
+    assert secondary > 30
+
+
+def test_small_tables_by_enumeration(spark):
+    """All tables of non-negative counts that agree with what is published: each hidden inner cell takes several values."""
+    draw = random.Random(9)
+    table = [(f"c{i}", a, s, draw.choice([1, 2, 6, 7])) for i in range(12) for a in "ab" for s in "xy"]
+    found = op.suppress(spark.createDataFrame(table, TABLE), "AGE", "SEX", ["CODE"]).collect()
+    cells = list(itertools.product("ab", "xy"))
+    for code in {r.CODE for r in found}:
+        seen = {(r.AGE, r.SEX): r.CNT_D_PSID for r in found if r.CODE == code}
+        values = {c: set() for c in cells}
+        for counts in itertools.product(range(10), repeat=4):
+            guess = dict(zip(cells, counts, strict=True))
+            for (a, s), n in list(guess.items()):
+                for margin in ((a, "ALL"), ("ALL", s), ("ALL", "ALL")):
+                    guess[margin] = guess.get(margin, 0) + n
+            if all(n is None or guess[c] == n for c, n in seen.items()):
+                for c in cells:
+                    values[c].add(guess[c])
+        assert all(len(values[c]) > 1 for c in cells if seen[c] is None)
+
+
+def test_margins_stay_where_a_rectangle_of_cells_can_be_hidden(spark):
+    table = [("c", a, s, n) for a, s, n in (("a", "x", 2), ("a", "y", 20), ("b", "x", 30), ("b", "y", 40), ("c", "x", 300), ("c", "y", 9))]
+    found = op.suppress(spark.createDataFrame(table, TABLE), "AGE", "SEX", ["CODE"])
+    assert {(r.AGE, r.SEX, r.HIDDEN) for r in found.collect() if r.HIDDEN} == {
+        ("a", "x", "PRIMARY"), ("a", "y", "SECONDARY"), ("b", "x", "SECONDARY"), ("b", "y", "SECONDARY"),
+    }
+
+
+def test_nulls_names_like_the_label_and_empty_tables(spark):
+    table = [(None, None, "x", 3), (None, "ALL", "x", 50), (None, "ALL", "y", 60), (None, None, "y", 70), ("c", "a", "x", None)]
+    found = op.suppress(spark.createDataFrame(table, TABLE), "AGE", "SEX", ["CODE"]).collect()
+    assert len(found) == 9 and {r.CODE for r in found} == {None} and sum(r.HIDDEN is not None for r in found) == 4
+    assert op.suppress(spark.createDataFrame([], TABLE), "AGE", "SEX", ["CODE"]).count() == 0
+    assert rows(op.with_margins(spark.createDataFrame([("c", "a", "x", 3)], TABLE), "AGE", "SEX")) == [("ALL", "ALL", 3), ("ALL", "x", 3), ("a", "ALL", 3), ("a", "x", 3)]
+    with pytest.raises(ValueError, match="2 or more"):
+        op.suppress(spark.createDataFrame(table, TABLE), "AGE", "SEX", k=1)
+
+
+def test_reports(spark):
+    sexes = spark.createDataFrame([("A", 2000, "0-18", "Male", 3), ("A", 2000, "0-18", "Female", 30), ("A", 2000, "50+", "Male", 10), ("A", 2000, "50+", "Female", 9)],
+                                  "ICD_CODE string, BJAHR int, ALTERSGRUPPE string, GESCHLECHT_LABEL string, CNT_D_PSID long")
+    plz = spark.createDataFrame([("0", 3), ("1", 30), ("2", 9)], "PLZ string, CNT_D_PSID long")
+    groups = spark.createDataFrame([("0", 33, 3, 30), ("1", 50, 20, 30)], "PLZ string, CNT_D_PSID_TOTAL long, CNT_D_PSID_OI_F long, CNT_D_PSID_REMAIN_F long")
+    words = spark.createDataFrame([("x", "y")], "TABELLENNAME string, BESCHREIBUNG string")
+    safe = op.suppress_report({"a": sexes, "b": plz, "c": groups, "d": words})
+    assert safe["a"].columns == ["ICD_CODE", "BJAHR", "ALTERSGRUPPE", "GESCHLECHT_LABEL", "CNT_D_PSID", "HIDDEN"] and safe["a"].count() == 9
+    hidden = {(r.PLZ, r.GROUP) for r in safe["b"].collect() if r.HIDDEN}
+    assert hidden == {("0", "PERSONS"), ("0", "ALL"), ("2", "PERSONS"), ("2", "ALL")}
+    assert {r.GROUP for r in safe["c"].collect()} == {"OI_F", "REMAIN_F", "ALL"} and safe["d"] is words
+
+
+def test_work_grows_with_rows(spark):
+    """One shuffle join of a table with its own rows, never of all cells with all."""
+    table = spark.range(1000).selectExpr("'c' AS CODE", "CAST(id AS STRING) AS AGE", "IF(id % 2 = 0, 'x', 'y') AS SEX", "id % 7 AS CNT_D_PSID")
+    text = plan_of(op.suppress(table, "AGE", "SEX", ["CODE"]))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "WindowGroupLimit" in text
