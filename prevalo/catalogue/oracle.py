@@ -188,6 +188,7 @@ SHARED = {
     "CONFIRMED": """
       SELECT PSID, VSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE DIAGSICH = 'G'
       UNION ALL SELECT PSID, VSID, ICDKH_CODE, BJAHR FROM KHDIAG""",
+    "FIRST_YEARS": "SELECT PSID, ICD_CODE, min(BJAHR) AS BJAHR FROM CONFIRMED GROUP BY ALL",
     "EVENTS": "SELECT PSID, ICD_CODE, BJAHR, count(*) AS N_ROWS FROM CONFIRMED GROUP BY ALL",
     "QUARTERS": "SELECT DISTINCT PSID, VERSQ // 10 * 4 + VERSQ % 10 - 1 AS Q FROM VERSQ WHERE VERSQ % 10 BETWEEN 1 AND 4",
     "CASE_TYPES": """
@@ -201,6 +202,7 @@ SHARED = {
 # Which shared expressions each one needs, besides the claims tables.
 NEEDS = {
     "EVENTS": ["CONFIRMED"],
+    "FIRST_YEARS": ["CONFIRMED"],
     "CASE_TYPES": ["EVENTS", "QUARTERS"],
     "REST": ["CASES"],
     "DEMO_CASES": ["CASES", "HOMES", "AGREED"],
@@ -333,6 +335,15 @@ def _suppressed(table: str, rows: str, columns: str, layers: list[str], value: s
         CASE WHEN HIDDEN IS NULL THEN N END AS {value}, HIDDEN FROM JUDGED"""
 
 
+FAMILIES = {
+    "RARE": ("Q780", "Q783"), "CYSTIC": ("E849",), "FRACTURE": ("S",), "TUMOUR": ("C",), "PRESSURE": ("I10", "I15"), "BONE": ("M",),
+    "BIRTH": ("O8",), "INJURY": ("T",),
+}
+_IN_FAMILIES = "SELECT PSID, " + ", ".join(
+    f"bool_or({' OR '.join(_starts('ICD_CODE', prefixes))}) AS {name}" for name, prefixes in FAMILIES.items()
+) + " FROM CONFIRMED GROUP BY PSID"
+
+
 _SEX_AS_OF = """
   SELECT d.*, q.VERSQ, q.GESCHLECHT FROM (SELECT PSID, VSID, ICD_CODE, BJAHR, count(*) AS N_ROWS FROM CONFIRMED GROUP BY ALL) d
   ASOF LEFT JOIN (SELECT * FROM VERSQ WHERE GESCHLECHT IN (1, 2)) q
@@ -341,6 +352,69 @@ _SEX_AS_OF = """
 # --- one statement per query: (shared expressions, statement) --------------------------------
 
 STATEMENTS: dict[str, tuple[list[str], str]] = {
+    "cube_persons": (
+        ["DEMO_REST"],
+        """SELECT ICD_CODE, BJAHR, AGE_GROUP, GESCHLECHT_LABEL, CAST(grouping(ICD_CODE, BJAHR, AGE_GROUP, GESCHLECHT_LABEL) AS BIGINT) AS LEVEL,
+             count(DISTINCT PSID) AS N_PERSONS
+           FROM DEMO_REST GROUP BY CUBE (ICD_CODE, BJAHR, AGE_GROUP, GESCHLECHT_LABEL)""",
+    ),
+    "rollup_persons": (
+        ["CONFIRMED"],
+        """SELECT ICD_CODE, BJAHR, CAST(grouping(ICD_CODE, BJAHR) AS BIGINT) AS LEVEL, count(DISTINCT PSID) AS N_PERSONS
+           FROM CONFIRMED GROUP BY ROLLUP (ICD_CODE, BJAHR)""",
+    ),
+    "sketched_persons_by_code": (
+        ["CONFIRMED"], "SELECT ICD_CODE, count(DISTINCT PSID) AS N_PERSONS, true AS IN_BOUND FROM CONFIRMED GROUP BY ALL",
+    ),
+    "sketched_persons_by_area": (
+        ["PERSONS"],
+        "SELECT substring(PLZ, 1, 1) AS AREA, count(DISTINCT PSID) AS N_PERSONS, true AS IN_BOUND FROM PERSONS WHERE PLZ <> '' GROUP BY ALL",
+    ),
+    "cohort_membership": (
+        ["CONFIRMED"],
+        f"""SELECT CAST(g.i AS INT) AS MASK, {", ".join(f"g.i // {1 << i} % 2 = 1 AS {name}" for i, name in enumerate(FAMILIES))},
+              count(p.PSID) AS N_PERSONS
+            FROM range(256) g(i) LEFT JOIN ({_IN_FAMILIES}) p ON {" AND ".join(f"p.{name} = (g.i // {1 << i} % 2 = 1)" for i, name in enumerate(FAMILIES))}
+            GROUP BY g.i""",
+    ),
+    "cohort_difference": (
+        [],
+        """(SELECT PSID FROM AMBDIAG WHERE DIAGSICH = 'G' AND ICDAMB_CODE LIKE 'S%' UNION SELECT PSID FROM KHDIAG WHERE ICDKH_CODE LIKE 'S%')
+           INTERSECT (
+             SELECT PSID FROM AMBDIAG WHERE DIAGSICH = 'G' AND (ICDAMB_CODE LIKE 'I10%' OR ICDAMB_CODE LIKE 'I15%')
+             UNION SELECT PSID FROM KHDIAG WHERE ICDKH_CODE LIKE 'I10%' OR ICDKH_CODE LIKE 'I15%')
+           EXCEPT (
+             SELECT PSID FROM AMBDIAG WHERE DIAGSICH = 'G' AND ICDAMB_CODE LIKE 'C%' UNION SELECT PSID FROM KHDIAG WHERE ICDKH_CODE LIKE 'C%')""",
+    ),
+    "diagnosis_count_tiles": (
+        [],
+        """SELECT PSID, N_ROWS, CAST(ntile(10) OVER (ORDER BY N_ROWS, PSID) AS INT) AS TILE
+           FROM (SELECT PSID, count(*) AS N_ROWS FROM CLAIM WHERE SRC IN ('O', 'F') GROUP BY PSID)""",
+    ),
+    "birth_year_quantiles": (
+        ["PERSONS"],
+        """SELECT s.q AS SHARE, p.GEBJAHR
+           FROM (SELECT GEBJAHR, row_number() OVER (ORDER BY GEBJAHR, PSID) AS n, count(*) OVER () AS total FROM PERSONS WHERE GEBJAHR IS NOT NULL) p
+           JOIN (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS q, unnest([0, 100, 250, 500, 900, 1000]) AS per_mille) s
+           ON p.n = greatest(1, (s.per_mille * p.total + 999) // 1000)""",
+    ),
+    "code_sequences": (
+        ["EVENTS"],
+        """SELECT PSID, CAST(count(*) AS INT) AS N_CODES, string_agg(BJAHR || ':' || ICD_CODE, '>' ORDER BY BJAHR, ICD_CODE) AS SEQUENCE
+           FROM (SELECT PSID, ICD_CODE, min(BJAHR) AS BJAHR FROM EVENTS GROUP BY ALL) GROUP BY PSID""",
+    ),
+    "code_transitions": (
+        ["FIRST_YEARS"],
+        """SELECT a.ICD_CODE AS CODE, b.ICD_CODE AS LATER_CODE, count(*) AS N_PERSONS
+           FROM FIRST_YEARS a JOIN FIRST_YEARS b ON a.PSID = b.PSID AND b.BJAHR - a.BJAHR BETWEEN 1 AND 2 GROUP BY ALL""",
+    ),
+    "followed_by": (
+        ["EVENTS"],
+        """SELECT a.PSID, a.BJAHR AS FIRST_YEAR, b.BJAHR AS THEN_YEAR FROM EVENTS a JOIN EVENTS b
+             ON a.PSID = b.PSID AND b.BJAHR - a.BJAHR BETWEEN 1 AND 2 WHERE a.ICD_CODE LIKE 'E849%' AND b.ICD_CODE LIKE 'S%'
+           QUALIFY row_number() OVER (PARTITION BY a.PSID ORDER BY a.BJAHR, b.BJAHR) = 1""",
+    ),
+    "incremental_cohort": (["FIRST_YEARS"], "SELECT * FROM FIRST_YEARS WHERE ICD_CODE LIKE 'E849%'"),
     "suppressed_age_sex": (
         ["AGE_SEX_EIGHT"],
         f"""SELECT * FROM ({_suppressed("SELECT * FROM AGE_SEX_EIGHT", "ALTERSGRUPPE", "GESCHLECHT_LABEL", ["ICDAMB_CODE", "BJAHR"], "CNT_D_PSID", 5)})""",

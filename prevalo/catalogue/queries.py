@@ -1,5 +1,6 @@
 """Registered queries: one function per operator, from claims tables to a result."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from prevalo.plans import (
     tracer_report,
 )
 from prevalo.sources import Claims, code_frame, stage
+from prevalo.sources.staging import staging_root
+from prevalo.streaming import first_years, update_first_years
 
 RARE = "Q780"
 TWO = ("Q780", "Q783")
@@ -516,6 +519,104 @@ def suppressed_code_sex(c: Claims) -> DataFrame:
     return op.suppress(counts, "CODE_YEAR", "GESCHLECHT_LABEL", value="N", k=10)
 
 
+# --- margins, sketches, many cohorts, ranks -----------------------------------------------------
+
+DIMS = ("ICD_CODE", "BJAHR", "AGE_GROUP", "GESCHLECHT_LABEL")
+FAMILIES = {
+    "RARE": TWO, "CYSTIC": FAMILY, "FRACTURE": "S", "TUMOUR": "C", "PRESSURE": ("I10", "I15"), "BONE": "M", "BIRTH": "O8", "INJURY": "T",
+}
+
+
+@registered
+def cube_persons(c: Claims) -> DataFrame:
+    """Persons of the rest by code, year, age and sex, with all margins."""
+    return op.persons_in_sets(demographics_remaining(c), DIMS)
+
+
+@registered
+def rollup_persons(c: Claims) -> DataFrame:
+    return op.persons_in_sets(c.diagnoses.filter(op.is_confirmed()), DIMS[:2], [DIMS[:2], DIMS[:1], ()])
+
+
+def _within_bound(sketches: DataFrame, exact: DataFrame, by: str) -> DataFrame:
+    """Exact counts, and whether the sketch is as near as its size promises."""
+    about = op.estimated_persons(op.unite_sketches(sketches, [by]))
+    near = F.abs(F.col("N_PERSONS_ABOUT") - F.col("N_PERSONS")) <= F.greatest(F.col("N_PERSONS") * F.lit(op.sketch_error()), F.lit(1.0))
+    return exact.join(about, by).select(by, "N_PERSONS", near.alias("IN_BOUND"))
+
+
+@registered
+def sketched_persons_by_code(c: Claims) -> DataFrame:
+    """Sketches by code and year, stored and then added up over the years."""
+    events = c.diagnoses.filter(op.is_confirmed())
+    sketches = stage(op.person_sketches(events, ["ICD_CODE", "BJAHR"]), "sketches")
+    return _within_bound(sketches, events.groupBy("ICD_CODE").agg(F.count_distinct("PSID").alias("N_PERSONS")), "ICD_CODE")
+
+
+@registered
+def sketched_persons_by_area(c: Claims) -> DataFrame:
+    """Sketches by postcode area and birth year, added up over the birth years."""
+    homes = op.insured(c.vers).withColumn("AREA", F.substring("PLZ", 1, 1)).filter("AREA <> ''")
+    sketches = stage(op.person_sketches(homes, ["AREA", "GEBJAHR"]), "sketches")
+    return _within_bound(sketches, homes.groupBy("AREA").agg(F.count_distinct("PSID").alias("N_PERSONS")), "AREA")
+
+
+@registered
+def cohort_membership(c: Claims) -> DataFrame:
+    """Persons in exactly which of eight cohorts, all 256 cells."""
+    return op.membership_counts(op.membership(c.diagnoses, FAMILIES), FAMILIES)
+
+
+@registered
+def cohort_difference(c: Claims) -> DataFrame:
+    """Fractures and high blood pressure, but no tumour."""
+    return op.members_of(op.membership(c.diagnoses, FAMILIES), FAMILIES, inside=("FRACTURE", "PRESSURE"), outside=("TUMOUR",))
+
+
+@registered
+def diagnosis_count_tiles(c: Claims) -> DataFrame:
+    """Persons in ten tiles by their number of diagnosis rows."""
+    counts = c.diagnoses.groupBy("PSID").agg(F.count("*").alias("N_ROWS"))
+    return op.tiles(counts, ["N_ROWS", "PSID"], 10)
+
+
+@registered
+def birth_year_quantiles(c: Claims) -> DataFrame:
+    return op.quantiles(op.insured(c.vers), "GEBJAHR", ["PSID"], (0.0, 0.1, 0.25, 0.5, 0.9, 1.0))
+
+
+# --- order in time, arriving files ----------------------------------------------------------------
+
+
+@registered
+def code_sequences(c: Claims) -> DataFrame:
+    steps = F.transform("SEQUENCE", lambda x: F.concat_ws(":", x["BJAHR"], x["ICD_CODE"]))
+    return op.code_sequences(c.diagnoses).select("PSID", "N_CODES", F.array_join(steps, ">").alias("SEQUENCE"))
+
+
+@registered
+def code_transitions(c: Claims) -> DataFrame:
+    return op.transitions(op.code_sequences(c.diagnoses), 2)
+
+
+@registered
+def followed_by(c: Claims) -> DataFrame:
+    return op.followed_by(c.diagnoses, FAMILY, "S", 2, exact=False)
+
+
+@registered
+def incremental_cohort(c: Claims) -> DataFrame:
+    """First years kept up to date over files that arrive in two runs."""
+    spark = c.vers.sparkSession
+    folder = f"{staging_root(spark)}/arriving/{uuid.uuid4().hex}"
+    for run in (0, 1):
+        for table in ("ambdiag", "khdiag"):
+            getattr(c, table).filter(F.col("BJAHR") % 2 == run).repartition(2).write.mode("append").parquet(f"{folder}/{table.upper()}")
+        sources = {t: f"{folder}/{t}" for t in ("AMBDIAG", "KHDIAG")}
+        update_first_years(spark, sources, f"{folder}/log", f"{folder}/checkpoint", codes=FAMILY, exact=False, files_per_batch=3)
+    return first_years(spark, f"{folder}/log")
+
+
 # --- code lists, inspection, dictionary ---------------------------------------------------
 
 

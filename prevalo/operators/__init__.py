@@ -47,6 +47,8 @@ from prevalo.operators.distributions import (
 from prevalo.operators.geography import plz_case_control, plz_distribution, plz_list
 from prevalo.operators.incidence import classify_cases, episodes, incidence
 from prevalo.operators.intervals import diagnosis_spells, insured_spells, interval_join, person_quarters
+from prevalo.operators.margins import estimated_persons, person_sketches, persons_in_sets, sketch_error, unite_sketches
+from prevalo.operators.membership import members_of, membership, membership_counts
 from prevalo.operators.occurrence import (
     code_difference,
     code_occurrence,
@@ -55,6 +57,8 @@ from prevalo.operators.occurrence import (
     occurrence_for_cohort_demographics,
     prefix_codes,
 )
+from prevalo.operators.ranks import quantiles, ranked, tiles
+from prevalo.operators.sequences import code_sequences, followed_by, transitions
 from prevalo.operators.summaries import age_histogram, diagnosed_persons, diagnosis_counts, sex_share
 
 __all__ = [
@@ -70,6 +74,7 @@ __all__ = [
     "classify_cases",
     "code_difference",
     "code_occurrence",
+    "code_sequences",
     "cohort",
     "cohort_for_list",
     "cohort_size",
@@ -83,9 +88,11 @@ __all__ = [
     "diagnosis_counts",
     "diagnosis_spells",
     "episodes",
+    "estimated_persons",
     "filter_codes",
     "first_sex",
     "fixed_year_rules",
+    "followed_by",
     "for_persons",
     "incidence",
     "insured",
@@ -95,26 +102,37 @@ __all__ = [
     "label_occurrences",
     "labelled_codes",
     "master_as_of",
+    "members_of",
+    "membership",
+    "membership_counts",
     "occurrence_age_sex",
     "occurrence_for_cohort_demographics",
     "paired_demographics",
     "person_demographics",
     "person_quarters",
+    "person_sketches",
+    "persons_in_sets",
     "plz_case_control",
     "plz_distribution",
     "plz_list",
     "prefix_codes",
     "profiles",
+    "quantiles",
+    "ranked",
     "remaining",
     "sex_as_of",
     "sex_by_consensus",
     "sex_share",
+    "sketch_error",
     "suppress",
     "suppress_report",
     "table_entries",
+    "tiles",
     "top_labelled",
     "top_totals",
     "totals",
+    "transitions",
     "unified_diagnoses",
+    "unite_sketches",
     "with_margins",
 ]
