@@ -233,7 +233,8 @@ def with_vectors(docs: DataFrame, vocabulary: dict[bytes, int], text: Column) ->
             n, found = 0, Counter()
             for words in word_lists(t):
                 n += len(words)
-                found.update(filter(None.__ne__, map(known.get, words)))
+                found.update(map(known.get, words))
+            found.pop(None, None)
             own = sorted(found)
             total.append(n)
             terms.append(np.array(own, np.int32))
