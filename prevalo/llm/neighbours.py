@@ -4,9 +4,12 @@ Nearness is the largest inner product. Vectors are scaled by the largest norm M
 sqrt(1 - |x|^2 / M^2), so that all have length one and the largest inner product is the smallest angle;
 queries get 0 there. Each tree splits the space by hyperplanes halfway between two random sample points, at the median.
 A query searches all trees through one queue: leaves of all trees are taken by falling priority, the
-smallest margin by which the query lies on the leaf's side of the planes above it, until they hold ``VISIT`` times as many
-rows as there are. Rows found in these leaves are ranked by exact inner products in double
-precision.
+smallest margin by which the query lies on the leaf's side of the planes above it, until they hold a budget of rows. Rows found in these
+leaves, and no others, are ranked by exact inner products in double precision.
+
+The budget, in rows counted once for each tree that leads to them, is the larger of ``LEAST`` and ``SHARE`` times the table's rows times
+(``SHARE_AT`` / rows) ^ ``FALL``: a query's work grows more slowly than the table. A budget of all trees' rows visits every
+leaf, so tables of up to ``LEAST`` / ``TREES`` distinct vectors are searched exactly, and larger ones nearly so as long as LEAST decides.
 
 The trees are fitted on at most ``SAMPLE`` vectors, those with the smallest hash of their id, and broadcast (``TREES`` x
 2^``DEPTH`` planes, whatever the input). Every row is indexed: rows go to blocks of about ``BLOCK`` by a hash,
@@ -14,7 +17,8 @@ a task sorts its block into the leaves and answers the queries, which come in bl
 are merged for each query. Copies of a vector are indexed once, with the smallest of their ids; more of them could not be among the nearest.
 
 Cases: vectors that are null, zero, or have a null or non-finite component take no part, nor do rows with a null id or a number of
-components other than the most frequent one; queries with no candidates have no rows; an id's own rows are never its
+components other than the most frequent one; queries with no candidates have no rows; with fewer candidates than asked for all are returned; of
+equal scores, however many, the smallest ids are returned; an id's own rows are never its
 candidates; repeated rows are candidates each and one query together; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 
 from prevalo.llm.common import python_workers, stage
 
-TREES, DEPTH, SAMPLE = 32, 8, 20_000
-VISIT = 1.3
-BLOCK, QUERIES = 8192, 4096
-#: Queries scored at a time against a block.
-AT_ONCE = 256
+TREES, DEPTH, SAMPLE = 32, 10, 20_000
+LEAST, SHARE, SHARE_AT, FALL = 4096, 0.6, 10_000, 0.18
+BLOCK, QUERIES = 32_768, 16_384
+#: Queries whose priorities are held at a time.
+AT_ONCE = 64
 
 FOUND = "query_id long, vec_id long, score double"
 SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -82,14 +86,27 @@ class Forest:
             out[:, t] = least
         return out
 
-    def visited(self, queries: np.ndarray, visit: float) -> np.ndarray:
-        """(query, tree * leaf) -> whether the queue gives the leaf to the query before its budget ends."""
-        priority = self.priorities(queries).reshape(len(queries), -1)
-        order = np.argsort(-priority, axis=1)
-        spent = np.cumsum(self.share.ravel()[order], axis=1)
-        out = np.zeros(priority.shape, bool)
-        np.put_along_axis(out, order, spent - self.share.ravel()[order] < visit, axis=1)
-        return out
+    def visited(self, queries: np.ndarray, visit: float) -> Iterator[np.ndarray]:
+        """For each query the leaves (tree * width + leaf) that the queue gives it before its budget ends."""
+        share = self.share.ravel()
+        if visit >= len(self.share):
+            yield from [np.arange(len(share))] * len(queries)
+            return
+        # Enough leaves from the front of the queue, mostly; the whole queue if not.
+        front = min(len(share), int(4 * visit * self.share.shape[1]) + 64)
+        for priority in self.priorities(queries).reshape(len(queries), -1):
+            for most in (front, len(share)):
+                some = np.argpartition(-priority, most - 1)[:most] if most < len(share) else np.arange(len(share))
+                order = some[np.argsort(-priority[some], kind="stable")]
+                spent = np.cumsum(share[order])
+                if spent[-1] >= visit or most == len(share):
+                    break
+            yield order[spent - share[order] < visit]
+
+
+def budget(rows: int) -> float:
+    """Rows that a query visits, as a multiple of the table's."""
+    return max(LEAST / max(1, rows), SHARE * (SHARE_AT / max(1, rows)) ** FALL)
 
 
 def fit_forest(sample: np.ndarray, norm: float, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
@@ -116,28 +133,33 @@ def fit_forest(sample: np.ndarray, norm: float, trees: int = TREES, depth: int =
     return forest
 
 
-def search_block(forest: Forest, vectors: np.ndarray, queries: np.ndarray, count: int, visit: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, scores): the best rows of a block for each query, best first."""
+def search_block(
+    forest: Forest, vectors: np.ndarray, queries: np.ndarray, count: int, visit: float, ids: list[list[int]], asking: list[int]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, rows, scores): the best rows of a block for each query, best first, with all that equal the last one. Vectors that
+    no id but the asking one has are left out."""
+    first, single = np.array([i[0] for i in ids], np.int64), np.array([i[0] == i[-1] for i in ids], bool)
     leaf = forest.leaves(forest.lifted(vectors))
-    width = forest.share.shape[1]
-    members: dict[int, np.ndarray] = {}
-    for t in range(len(leaf)):
-        order = np.argsort(leaf[t], kind="stable")
-        found, starts = np.unique(leaf[t][order], return_index=True)
-        members |= {t * width + int(k): rows for k, rows in zip(found, np.split(order, starts[1:]), strict=True)}
+    trees, width = forest.share.shape
+    leaf += np.arange(trees)[:, None] * width
+    members = np.argsort(leaf.ravel(), kind="stable")
+    edges = np.searchsorted(leaf.ravel()[members], np.arange(trees * width + 1))
+    members %= len(vectors)
+    found = np.zeros(len(vectors), bool)
     for i in range(0, len(queries), AT_ONCE):
         some = queries[i : i + AT_ONCE]
-        visited = forest.visited(some, visit)
-        scores = np.full((len(some), len(vectors)), -np.inf)
-        for k, rows in members.items():
-            who = np.flatnonzero(visited[:, k])
-            if len(who):
-                scores[np.ix_(who, rows)] = some[who] @ vectors[rows].T
-        # A few more than asked for, as the last bits of a product depend on the block's shape.
-        most = min(count + 8, len(vectors))
-        best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-        for j in range(len(some)):
-            rows = best[j][np.isfinite(scores[j, best[j]])]
+        for j, leaves in enumerate(forest.visited(some, visit)):
+            sizes = edges[leaves + 1] - edges[leaves]
+            at = np.repeat(edges[leaves] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            found[members[at]] = True
+            rows = np.flatnonzero(found)
+            found[rows] = False
+            rows = rows[~single[rows] | (first[rows] != asking[i + j])]
+            score = vectors[rows] @ some[j]
+            if len(rows) > count:
+                # The last bits of a product depend on how it is summed, so a little more than the last one is kept.
+                least = np.partition(score, len(rows) - count)[len(rows) - count]
+                rows = rows[score >= least - 1e-12 * max(1.0, abs(least))]
             exact = (vectors[rows] * some[j]).sum(axis=1)
             order = np.argsort(-exact, kind="stable")
             yield i + j, rows[order], exact[order]
@@ -154,7 +176,7 @@ def usable(vector: Column) -> Column:
 
 
 def search(
-    rows: DataFrame, is_query: Column, count: int = 20, visit: float = VISIT, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK
+    rows: DataFrame, is_query: Column, count: int = 20, visit: float | None = None, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that ``is_query`` marks."""
     spark = rows.sparkSession
@@ -182,6 +204,7 @@ def search(
     blocks, parts = -(-total // block), -(-asked.count() // QUERIES)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    visit = budget(total) if visit is None else visit
     own, all_blocks = F.xxhash64(F.col("ids")[0]), F.sequence(F.lit(0), F.lit(blocks - 1))
     here = distinct.select(F.pmod(own, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "embedding")
     there = asked.select(
@@ -195,7 +218,8 @@ def search(
         out: list[tuple[int, int, float]] = []
         if len(rows_) and len(asked_):
             vectors, queries = _matrix(group.column("embedding"), rows_), _matrix(group.column("embedding"), asked_)
-            for q, found, scores in search_block(forest.value, vectors, queries, count, visit):
+            of_rows, asking = [ids[i] for i in rows_.tolist()], [ids[i][0] for i in asked_.tolist()]
+            for q, found, scores in search_block(forest.value, vectors, queries, count, visit, of_rows, asking):
                 me, mine = ids[asked_[q]][0], []
                 for r, s in zip(found.tolist(), scores.tolist(), strict=True):
                     mine += [(me, v, s) for v in ids[rows_[r]] if v != me]

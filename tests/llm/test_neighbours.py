@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prevalo.llm import neighbours
@@ -67,3 +68,42 @@ def test_leaves_partition_the_sample():
     unit = sample / np.linalg.norm(sample, axis=1)[:, None]
     own = forest.leaves(np.concatenate([unit, np.zeros((300, 1))], axis=1))
     assert (forest.priorities(sample).argmax(axis=2).T == own).mean() > 0.98
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 16, 41, 101])
+def test_small_tables_are_exact_with_default_parameters(spark, n):
+    rng = np.random.default_rng(n)
+    vectors = rng.standard_normal((n, 16)).astype(np.float32)
+    rows = [(i, v.tolist(), "") for i, v in enumerate(vectors)]
+    got = answers(neighbours.search(table(spark, rows), F.col("vec_id") % 20 == 0))
+    want = exact(list(range(n)), vectors.astype(np.float64), range(0, n, 20), 20)
+    assert got == {k: v for k, v in want.items() if v} and all(len(v) == min(20, n - 1) for v in got.values())
+
+
+@pytest.mark.parametrize("count", [1, 20])
+def test_wide_ties_go_to_the_smallest_ids(spark, count):
+    """0/1 vectors: hundreds of rows have the score of the last neighbour."""
+    vectors = np.random.default_rng(3).integers(0, 2, (600, 16)).astype(np.float32)
+    vectors[vectors.any(axis=1) == 0] = 1
+    rows = [(i, v.tolist(), "") for i, v in enumerate(vectors)]
+    got = answers(neighbours.search(table(spark, rows), F.col("vec_id") % 100 == 0, count=count, visit=1e9, block=100))
+    assert got == exact(list(range(600)), vectors.astype(np.float64), range(0, 600, 100), count)
+
+
+def test_budget_grows_more_slowly_than_the_table():
+    rows = [10**k for k in range(1, 10)]
+    visited = [neighbours.budget(n) * n for n in rows]
+    assert neighbours.budget(neighbours.LEAST // neighbours.TREES) >= neighbours.TREES
+    assert all(b / a < 10**0.83 for a, b in zip(visited[3:], visited[4:], strict=False)) and visited == sorted(visited)
+
+
+def test_a_queue_ends_with_its_budget():
+    rng = np.random.default_rng(5)
+    sample = rng.standard_normal((2000, 8))
+    forest = neighbours.fit_forest(sample, float(np.linalg.norm(sample, axis=1).max()), trees=4, depth=5)
+    share = forest.share.ravel()
+    for visit in (0.05, 0.5, 2.9):
+        for leaves, priority in zip(forest.visited(sample[:20], visit), forest.priorities(sample[:20]).reshape(20, -1), strict=True):
+            assert share[leaves].sum() >= visit > share[leaves[:-1]].sum()
+            assert priority[leaves].min() >= np.delete(priority, leaves).max()
+    assert all(len(leaves) == len(share) for leaves in forest.visited(sample[:3], 4.0))
