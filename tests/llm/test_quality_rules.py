@@ -35,25 +35,78 @@ def plain_estimate(x):
     floor = np.square(quality_rules.FLOOR)
     low = lambda v: np.sort(v, axis=0)[(len(v) - 1) // 2]
     mean = low(x)
-    inverse = np.diag(1 / ((1.4826 * low(np.abs(x - mean))) ** 2 + floor))
+    scatter = np.diag((1.4826 * low(np.abs(x - mean))) ** 2)
+    sizes = []
     for _ in range(quality_rules.STEPS):
+        sizes.append(np.linalg.slogdet(scatter + np.diag(floor))[1])
+        if len(sizes) > 2 and abs(sizes[-1] - sizes[-2]) <= quality_rules.STILL:
+            break
+        inverse = np.linalg.inv(scatter + np.diag(floor))
         d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
         edge = np.sort(d)[int(np.ceil(quality_rules.CENTRAL * len(d))) - 1]
         part = x[d <= edge]
-        mean, scatter = part.mean(axis=0), np.cov(part.T, bias=True)
-        inverse = np.linalg.inv(quality_rules.CONSISTENT * scatter + np.diag(floor))
-    return mean, inverse
+        mean, scatter = part.mean(axis=0), quality_rules.CONSISTENT * np.cov(part.T, bias=True).reshape(5, 5)
+    return mean, scatter, sizes
 
 
 def test_estimates_equal_the_plain_ones(spark):
     rng = np.random.default_rng(2)
-    cells = {"a": rng.multivariate_normal([5, 4, 0, 0, 0.1], np.diag([1, 0.2, 0.01, 0.02, 0.01]), 400), "b": rng.standard_normal((90, 5))}
+    cells = {"a": rng.multivariate_normal([5, 4, 0, 0, 0.1], np.diag([1, 0.2, 0.01, 0.02, 0.01]), 400), "b": rng.standard_normal((90, 5)), "c": rng.standard_normal((1, 5))}
     cells["a"][:60] += 9
     rows = [(k, *map(float, v)) for k, x in cells.items() for v in x]
     df = spark.createDataFrame(rows, "cell string, " + ", ".join(f"{v} double" for v in quality_rules.VECTOR))
     for r in quality_rules.fit(df).collect():
-        mean, inverse = plain_estimate(cells[r.cell])
-        assert np.allclose(r["mean"], mean) and np.allclose(np.reshape(r["inverse"], (5, 5)), inverse)
+        mean, scatter, sizes = plain_estimate(cells[r.cell])
+        assert np.allclose(r["mean"], mean) and np.allclose(np.reshape(r["scatter"], (5, 5)), scatter) and r.n == len(cells[r.cell])
+        # After the start, which isn't a step's result, determinants never rise, and they stand still in the end.
+        assert all(b <= a + 1e-9 for a, b in zip(sizes[1:], sizes[2:], strict=False)) and len(sizes) <= quality_rules.STEPS
+
+
+def plain_verdicts(rows):
+    """(doc_id, kept) from the definitions: counts, estimates of the table, languages and cells, each drawn towards the wider one."""
+    vectors, cells = {}, {}
+    for k, (_, text, lang, source) in enumerate(rows):
+        n, chars, symbols, dups, repeats, lines = plain_counts(text)
+        if n:
+            vectors[k] = np.array([np.log1p(n), chars / n, np.sqrt(symbols / max(chars, 1)), np.sqrt(dups / max(lines, 1)), np.sqrt(repeats / n)])
+            for key in ((), (lang,), (lang, source)):
+                cells.setdefault(key, []).append(vectors[k])
+    estimates = {}
+    for key in sorted(cells, key=len):
+        mean, scatter, _ = plain_estimate(np.array(cells[key]))
+        estimates[key] = quality_rules.drawn(len(cells[key]), mean, scatter, *estimates[key[:-1]]) if key else (mean, scatter)
+    out = []
+    for k, (i, text, lang, source) in enumerate(rows):
+        n, _, _, _, repeats, _ = plain_counts(text)
+        kept = n >= 10 and 100 * repeats <= 20 * n
+        if kept:
+            mean, scatter = estimates[lang, source]
+            d = vectors[k] - mean
+            kept = d @ np.linalg.inv(scatter + np.diag(np.square(quality_rules.FLOOR))) @ d <= quality_rules.CUT
+        out.append((i, bool(kept)))
+    return out
+
+
+def verdicts(df):
+    return sorted(((r.doc.doc_id, r.kept) for r in quality_rules.judge(df).collect()), key=str)
+
+
+def test_verdicts_end_to_end(documents):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randint(5, 300)), rng.choice(["en", "de", None]), rng.choice(["a", "b", "b", None])) for i in range(160)]
+    rows += [(200 + i, prose(rng, 60).replace(" ", rng.choice(["# ", " | ", "\n"])), "en", "a") for i in range(15)]
+    rows += [(300 + i, "\n".join([prose(rng, 3)] * rng.randint(1, 9) + [prose(rng, 40)]), "de", "c") for i in range(9)]
+    rows += [(400, prose(rng, 90), "xx", "alone"), (401, None, "en", "a"), (402, " ", "yy", None), (0, rows[0][1], "en", "a")]
+    want = sorted(plain_verdicts(rows), key=str)
+    assert verdicts(documents(rows)) == want and {k for _, k in want} == {True, False}
+
+
+def test_no_number_of_rows_switches_verdicts(documents):
+    """A cell of 49 rows and one of 50, by a row that stands twice: all others keep their verdicts."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(40, 300)), "en", "big") for i in range(200)]
+    rows += [(500 + i, prose(rng, rng.randint(8, 60)).replace(" ", rng.choice([" ", " ", "# "])), "en", "small") for i in range(49)]
+    assert set(verdicts(documents(rows))) == set(verdicts(documents([*rows, rows[-1]])))
 
 
 def prose(rng, n):
