@@ -37,16 +37,30 @@ from prevalo.llm.common import give_back, python_workers
 #: N-grams in a profile, and most frequent n-grams of a document that are compared.
 PROFILE, OWN = 1500, 400
 MOST_LANGUAGES = 1000
+#: Parts in which a language's n-grams are ranked first.
+PARTS = 64
 #: Distinct words a worker holds while it counts.
 HELD = 30_000
 UNKNOWN = "und"
 
+#: Letters, and numerals that are not decimal digits, which ``words_of`` takes out.
 WORDS = re.compile(r"[^\W\d_]+")
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 Profiles = tuple[list[str], np.ndarray, np.ndarray]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), in lower case."""
+    out: list[str] = []
+    for word in WORDS.findall(text.lower()):
+        if word.isalpha():
+            out.append(word)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in word).split()
+    return out
+
+
 def grams(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of words as numbers, and the place of the word that each is from (by its blank in front)."""
     text = " " + "  ".join(words) + " "
@@ -87,7 +101,7 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+            held.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, held.values())) > most:
                 yield from flush()
         give_back()
@@ -101,7 +115,10 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", length: int =
     known = docs.select(lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = known.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < length)
+    # First in parts, so that no task sorts all n-grams of a language.
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(F.desc("n"), "gram")
+    counts = counts.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= length)
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length).withColumn("rank", F.col("rank") - 1)
     # Bounded by the number of languages; one more than allowed is enough to tell.
     rows = top.select("lang", "gram", "rank").limit((MOST_LANGUAGES + 1) * length).toPandas()
     languages = sorted(rows["lang"].unique())
@@ -116,7 +133,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", length: int =
 def nearest(text: str | None, profiles: Profiles, length: int = PROFILE, own: int = OWN) -> tuple[str, float]:
     """Language and score of a text. The score is one minus the distance as a share of the greatest possible."""
     languages, vocabulary, ranks = profiles
-    words = WORDS.findall(text.lower()) if text else []
+    words = words_of(text) if text else []
     if not words or not languages:
         return UNKNOWN, 0.0
     first = ranked(grams(words)[0], own)

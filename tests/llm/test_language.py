@@ -1,4 +1,4 @@
-import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -22,7 +22,7 @@ TEXTS = [
 
 def plain_grams(text):
     out = Counter()
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
+    for w in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split():
         padded = f" {w} "
         out.update(w)
         out.update(padded[i : i + 2] for i in range(len(padded) - 1))
@@ -57,7 +57,7 @@ def plain_nearest(text, profiles, length, own):
 
 def test_grams_equal_the_plain_ones():
     text = "Straße über l'été a b  cde 42_x"
-    words = language.WORDS.findall(text.lower())
+    words = language.words_of(text)
     assert Counter(language.grams(words)[0].tolist()) == Counter({number(g): n for g, n in plain_grams(text).items()})
     got, place = language.grams(["ab", "c"])
     assert Counter(place.tolist()) == Counter({0: 2 + 3 + 2, 1: 1 + 2 + 1})
@@ -96,6 +96,14 @@ def test_profiles_and_predictions_equal_the_plain_ones(documents):
         assert got[0] == want[0] and got[1] == pytest.approx(want[1])
 
 
+def test_numerals_are_no_letters(documents):
+    learned = language.learn(documents(TEXTS))
+    for text in ("½ ² ①", "ⅷ 四½"[:1], "² 3 _", "٣", "\u3007\u3007"):
+        assert language.nearest(text, learned) == ("und", 0.0), text
+    assert language.words_of("a²b x½ y") == ["a", "b", "x", "y"]
+    assert language.nearest("the² dog①", learned)[0] == "en"
+
+
 def test_ranked_breaks_ties_by_value():
     values = np.array([5, 5, 3, 3, 9, 1, 1, 1])
     assert language.ranked(values, 3).tolist() == [1, 3, 5]
