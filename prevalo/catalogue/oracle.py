@@ -352,6 +352,37 @@ _SEX_AS_OF = """
 # --- one statement per query: (shared expressions, statement) --------------------------------
 
 STATEMENTS: dict[str, tuple[list[str], str]] = {
+    "delivered_csv_cohort": (["RARE"], "SELECT * FROM RARE"),
+    "delivered_csv_postcodes": ([], "SELECT PLZ, count(*) AS N_ROWS, min(GEBJAHR) AS GEBJAHR FROM VERS GROUP BY PLZ"),
+    "delivered_csv_without_inpatients": (["SEVERAL"], "SELECT * FROM SEVERAL"),
+    "delivered_code_list": (
+        [],
+        f"""SELECT replace(LISTED_CODE, '.', '') AS ICD_CODE, 'Text; the "one" of ' || LISTED_CODE AS ICD_TEXT,
+              CAST(length(LISTED_CODE) AS VARCHAR) AS ORPHA_CODE, 'x' AS ORPHA_TEXT, 'level ' || LISTED_CODE AS ORDO_LEVEL FROM ({LISTED} WHERE SRC IN ('O', 'F'))""",
+    ),
+    "named_views": (
+        [],
+        """SELECT a.DIAGSICH, q.GESCHLECHT, count(*) AS N_ROWS FROM AMBDIAG a JOIN VERSQ q ON a.PSID = q.PSID AND a.VSID = q.VSID GROUP BY ALL""",
+    ),
+    "catalogue_tables": (["RARE"], "SELECT * FROM RARE"),
+    "replaced_result": (["RARE"], "SELECT * FROM RARE"),
+    "written_counts_in_order": (
+        ["LEGACY", "PERSONS", "FIRST_SEX"],
+        f"""SELECT *, CAST(row_number() OVER (ORDER BY CNT_D_PSID DESC, PLZ2 NULLS FIRST) AS INT) AS LINE FROM (
+              SELECT substring(PLZ, 1, 2) AS PLZ2, count(DISTINCT PSID) AS CNT_D_PSID FROM ({_fixed_year("LEGACY", BANDS_FOUR)}) GROUP BY ALL)""",
+    ),
+    "written_groups_in_order": (
+        ["CASES", "HOMES", "AGREED"],
+        f"""SELECT *, CAST(row_number() OVER (ORDER BY ICD_GROUP, GESCHLECHT_LABEL, AGE_GROUP) AS INT) AS LINE
+            FROM ({_occurrence_counts(_found(IN_CASE_YEAR, "PSID, VSID, BJAHR", TRACKED_CODES, TRACKED_EXACT, " AND DIAGSICH = 'G'"))})""",
+    ),
+    "dm_demographics_current_year": (
+        ["FIRST_PAIR"],
+        "SELECT * REPLACE (CAST(year(current_date) - GEBJAHR AS INT) AS ALTER) FROM FIRST_PAIR",
+    ),
+    "cohort_lower_case": (
+        [], "SELECT PSID, ICD_CODE, min(BJAHR) AS BJAHR FROM (SELECT PSID, ICDAMB_CODE AS ICD_CODE, BJAHR FROM AMBDIAG WHERE DIAGSICH = 'G' UNION ALL SELECT PSID, ICDKH_CODE, BJAHR FROM KHDIAG) WHERE ICD_CODE IN ('Q780', 'Q783') GROUP BY ALL",
+    ),
     "cube_persons": (
         ["DEMO_REST"],
         """SELECT ICD_CODE, BJAHR, AGE_GROUP, GESCHLECHT_LABEL, CAST(grouping(ICD_CODE, BJAHR, AGE_GROUP, GESCHLECHT_LABEL) AS BIGINT) AS LEVEL,

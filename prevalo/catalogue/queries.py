@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from prevalo import operators as op
 from prevalo.catalogue.claims_views import claims_from_star
 from prevalo.constants import BANDS_EIGHT, BANDS_FOUR, TRACKED_CODES_SHORT, TRACKED_EXACT, TRACKED_EXACT_SHORT
-from prevalo.functions import normalise_code
+from prevalo.functions import normalise_code, normalise_codes
 from prevalo.plans import (
     case_control_report,
     fixed_year_report,
     multi_code_report,
     single_code_report,
     tracer_report,
+    write_report,
 )
-from prevalo.sources import Claims, code_frame, stage
+from prevalo.plans.settings import result_folder
+from prevalo.sources import Claims, code_frame, read_claims, read_claims_tables, read_code_list, stage, write_result
 from prevalo.sources.staging import staging_root
 from prevalo.streaming import first_years, update_first_years
 
@@ -109,6 +111,19 @@ def _diagnosed(c: Claims, code: str, exact: bool = False) -> DataFrame:
     return op.diagnosed_persons(counts, c.vers, c.versq, YEAR)
 
 
+def _scratch(c: Claims, name: str) -> str:
+    """A new folder in shared storage."""
+    return f"{staging_root(c.vers.sparkSession)}/{name}/{uuid.uuid4().hex}"
+
+
+def _as_csv(c: Claims, *tables: str) -> str:
+    """The claims tables as delimited files, the way they are delivered."""
+    folder = _scratch(c, "delivered")
+    for table in tables:
+        getattr(c, table).write.csv(f"{folder}/{table.upper()}.csv", header=True, nullValue="NA")
+    return folder
+
+
 # --- cohorts ------------------------------------------------------------------------------
 
 
@@ -608,7 +623,7 @@ def followed_by(c: Claims) -> DataFrame:
 def incremental_cohort(c: Claims) -> DataFrame:
     """First years kept up to date over files that arrive in two runs."""
     spark = c.vers.sparkSession
-    folder = f"{staging_root(spark)}/arriving/{uuid.uuid4().hex}"
+    folder = _scratch(c, "arriving")
     for run in (0, 1):
         for table in ("ambdiag", "khdiag"):
             getattr(c, table).filter(F.col("BJAHR") % 2 == run).repartition(2).write.mode("append").parquet(f"{folder}/{table.upper()}")
@@ -659,6 +674,102 @@ def result_dictionary(c: Claims) -> DataFrame:
     return op.table_entries(op.cohort(c.diagnoses, FAMILY, exact=False).select("ICD_CODE"))
 
 
+# --- files, tables and results: written, then read the way users do -----------------------------
+
+
+@registered
+def delivered_csv_cohort(c: Claims) -> DataFrame:
+    """The cohort over four delimited files."""
+    given = read_claims(c.vers.sparkSession, _as_csv(c, "ambdiag", "khdiag", "vers", "versq"))
+    return op.cohort(given.diagnoses, RARE)
+
+
+@registered
+def delivered_csv_postcodes(c: Claims) -> DataFrame:
+    """Postcodes keep their leading zeros, blanks stay blank and missing ones missing."""
+    given = read_claims(c.vers.sparkSession, _as_csv(c, "ambdiag", "khdiag", "vers", "versq"))
+    return given.vers.groupBy("PLZ").agg(F.count("*").alias("N_ROWS"), F.min("GEBJAHR").alias("GEBJAHR"))
+
+
+@registered
+def delivered_csv_without_inpatients(c: Claims) -> DataFrame:
+    """Three files: the absent table is skipped, and the cohort is outpatient."""
+    given = read_claims(c.vers.sparkSession, _as_csv(c, "ambdiag", "vers", "versq"))
+    return _outpatient_codes(_several(given)) if given.khdiag is None else given.khdiag
+
+
+@registered
+def delivered_code_list(c: Claims) -> DataFrame:
+    """A code list with dotted codes, separators and quotes inside fields, and blanks, from a file."""
+    spark, path = c.vers.sparkSession, f"{_scratch(c, 'lists')}/codes.csv"
+    code = F.col("LISTED_CODE")
+    text = F.concat(F.lit('Text; the "one" of '), code)
+    rows = _dotted_codes(c).select(code, text.alias("TEXT"), F.length(code).cast("string").alias("ORPHA"), F.lit("x").alias("O"), F.concat(F.lit("  level "), code).alias("LEVEL"))
+    rows.coalesce(1).write.csv(path, sep=";", header=True, quote='"', escape='"')
+    return read_code_list(spark, path)
+
+
+@registered
+def named_views(c: Claims) -> DataFrame:
+    """The claims tables under their own names in SQL."""
+    c.register_views()
+    return c.vers.sparkSession.sql(
+        "SELECT a.DIAGSICH, q.GESCHLECHT, count(*) AS N_ROWS FROM AMBDIAG a JOIN VERSQ q ON a.PSID = q.PSID AND a.VSID = q.VSID GROUP BY ALL"
+    )
+
+
+@registered
+def catalogue_tables(c: Claims) -> DataFrame:
+    """The cohort over tables of a database."""
+    spark, database = c.vers.sparkSession, f"prevalo_claims_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{_scratch(c, 'databases')}'")
+    for table in ("ambdiag", "khdiag", "vers", "versq"):
+        getattr(c, table).write.saveAsTable(f"{database}.DATRAV_{table.upper()}")
+    return op.cohort(read_claims_tables(spark, database).diagnoses, RARE)
+
+
+@registered
+def replaced_result(c: Claims) -> DataFrame:
+    """A result that replaces an earlier one of another shape."""
+    path = f"{_scratch(c, 'results')}/RT_RESULT"
+    write_result(code_list_normalise(c), path)
+    write_result(cohort_exact(c), path)
+    return c.vers.sparkSession.read.parquet(path)
+
+
+def _read_in_order(c: Claims, path: str) -> DataFrame:
+    """A result that was written as one delimited file, with the number of each line. Quoted blanks are blank, unquoted ones missing."""
+    rows = c.vers.sparkSession.read.csv(path, header=True, nullValue="<none>").coalesce(1).withColumn("CNT_D_PSID", F.col("CNT_D_PSID").cast("long"))
+    return rows.withColumn("LINE", (F.monotonically_increasing_id() + 1).cast("int"))
+
+
+@registered
+def written_counts_in_order(c: Claims) -> DataFrame:
+    """Postcode areas by falling count in the delimited file of a report."""
+    root = _scratch(c, "results")
+    write_report(fixed_year_report(c, RARE, YEAR), root, single_file=True)
+    return _read_in_order(c, f"{root}/RT_RD_PLZ_GROUPED")
+
+
+@registered
+def written_groups_in_order(c: Claims) -> DataFrame:
+    """Tracked codes by three ascending keys in the delimited file of a report."""
+    root = result_folder(_scratch(c, "results"), RARE, LABEL_YEARS)
+    write_report(case_control_report(c, RARE), root, single_file=True)
+    return _read_in_order(c, f"{root}/RT_SPECIFIC_ICD_AGE_SEX_DIST")
+
+
+@registered
+def dm_demographics_current_year(c: Claims) -> DataFrame:
+    return op.person_demographics(c.vers, c.versq)
+
+
+@registered
+def cohort_lower_case(c: Claims) -> DataFrame:
+    """Codes as typed, in lower case and with a dot."""
+    return op.cohort(c.diagnoses, normalise_codes(["q78.0", " q78.3"], upper=True))
+
+
 # --- report tables: each is a table of the whole report, as its caller gets it --------------
 
 
