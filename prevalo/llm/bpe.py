@@ -3,9 +3,13 @@
 Merge lists have a *sufficient lookahead*: what stands more than so many bytes behind a place
 cannot change the tokens that end before it. ``sufficient_lookahead`` computes such a bound from
 the merge list alone. The encoder keeps a buffer of a few times that length, merges it, emits the
-tokens that end further than the lookahead from its open end, and drops their bytes. Only pieces of
-the split longer than ``STRIDE`` bytes are streamed so; a document's pieces and ids are held whole. The decoder feeds token bytes to an incremental
-UTF-8 state machine and emits text piece by piece.
+tokens that end further than the lookahead from its open end, and drops their bytes.
+
+Texts are split before merging, so the buffer is one piece of the split, mostly; a piece within the buffer's length is merged at once and
+a longer one is streamed through it, with the same tokens. Texts are split in windows of ``WINDOW`` characters, and ids
+go on to the digest and the decoder window by window. So what is held beside the text itself doesn't grow with it, but for one piece that is longer than a
+window (a run of one kind of characters), which is held with its ids. The decoder feeds
+token bytes to an incremental UTF-8 state machine and emits text piece by piece.
 
 Null texts are empty texts: no tokens, empty decoded text. Repeated rows each give a row. Other
 columns are not read, so clashing names do no harm. The registered query reads ``doc_id`` and
@@ -42,6 +46,9 @@ PIECE_CHARS, PIECES = 48, 120_000
 NO_RULE = (1 << 40, -1)
 #: Bytes the encoder takes in at a time beyond the lookahead, tokens the decoder takes at a time.
 STRIDE, TOKENS = 512, 4096
+#: Characters that are split at a time, and how many of the last ones are split again with what follows: a contraction and its
+#: apostrophe, or a run of blanks, are only certain if more text is seen.
+WINDOW, UNSURE = 1 << 16, 4
 
 RESULT = T.StructType(
     [
@@ -117,7 +124,7 @@ class Codec:
         self.lookahead = sufficient_lookahead(rules, [len(x) for x in self.bytes_of], parts)
         self.special = special
         self.add_space = bool(data["pre_tokenizer"].get("add_prefix_space"))
-        self.split, self.ascii_split = regex.compile(SPLIT).findall, re.compile(ASCII_SPLIT).findall
+        self.split, self.ascii_split = regex.compile(SPLIT), re.compile(ASCII_SPLIT)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)))
         self.known: dict[str, bytes] = _Pieces(self)
 
@@ -158,37 +165,61 @@ class Codec:
         ids = self.merged(data) if len(data) <= STRIDE else np.fromiter(self.stream(data), "<u4")
         return np.asarray(ids, "<u4").tobytes()
 
-    def segment(self, text: str) -> list[bytes]:
-        if not text:
-            return []
-        if self.add_space and not text[0].isspace():
+    def segments(self, text: str, window: int = WINDOW) -> Iterator[bytes]:
+        """Packed ids of a text without special tokens, some pieces at a time."""
+        if self.add_space and text and not text[0].isspace():
             text = " " + text
-        return list(map(self.known.__getitem__, (self.ascii_split if text.isascii() else self.split)(text)))
-
-    def encode(self, text: str | None) -> bytes:
-        """Packed ids of a text. Strings of special tokens in it become those tokens."""
+        find = (self.ascii_split if text.isascii() else self.split).findall
+        at, size = 0, window
+        while at < len(text):
+            if len(text) - at <= size:
+                yield b"".join(map(self.known.__getitem__, find(text, at) if at else find(text)))
+                return
+            found = find(text, at, at + size)
+            unsure = 0
+            # At least two pieces: what the last one becomes can change the one before.
+            for k in range(len(found)):
+                if k > 1 and unsure > UNSURE:
+                    break
+                unsure += len(found.pop())
+            if not found:
+                size *= 2
+                continue
+            yield b"".join(map(self.known.__getitem__, found))
+            at, size = at + size - unsure, window
+
+    def encode_parts(self, text: str | None, window: int = WINDOW) -> Iterator[bytes]:
+        """Packed ids of a text, part by part. Strings of special tokens in it become those tokens."""
         if not text:
-            return b""
-        out: list[bytes] = []
+            return
         at = 0
         if any(s in text for s in self.special):
             for m in self.specials.finditer(text):
-                out += self.segment(text[at : m.start()])
-                out.append(self.special[m[0]].to_bytes(4, "little"))
+                yield from self.segments(text[at : m.start()], window)
+                yield self.special[m[0]].to_bytes(4, "little")
                 at = m.end()
-        out += self.segment(text[at:] if at else text)
-        if len(self.known) > PIECES:
-            self.known.age()
-        return b"".join(out)
+        for part in self.segments(text[at:] if at else text, window):
+            yield part
+            if len(self.known) > PIECES:
+                self.known.age()
 
-    def decode(self, ids: Iterable[int] | np.ndarray) -> Iterator[str]:
-        """Pieces of the decoded text; bytes that aren't UTF-8 become U+FFFD."""
-        ids = np.asarray(ids, dtype=np.uint32)
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text."""
+        return b"".join(self.encode_parts(text))
+
+    def decoded(self, parts: Iterable[bytes]) -> Iterator[str]:
+        """Pieces of the text decoded from parts of packed ids; bytes that aren't UTF-8 become U+FFFD."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in range(0, len(ids), TOKENS):
-            yield state.decode(b"".join(map(self.bytes_of.__getitem__, ids[i : i + TOKENS].tolist())))
+        for part in parts:
+            ids = np.frombuffer(part, "<u4")
+            for i in range(0, len(ids), TOKENS):
+                yield state.decode(b"".join(map(self.bytes_of.__getitem__, ids[i : i + TOKENS].tolist())))
         yield state.decode(b"", True)
 
+    def decode(self, ids: Iterable[int] | np.ndarray) -> Iterator[str]:
+        """Pieces of the text decoded from ids."""
+        return self.decoded([np.asarray(ids, "<u4").tobytes()])
+
 
 class _Pieces(dict):
     """Remembers short pieces; those not seen for a generation are forgotten, long ones never kept."""
@@ -253,26 +284,35 @@ def decode_documents(df: DataFrame, vocabulary: str, ids: str = "ids", out: str
     return df.withColumn(out, texts(F.col(ids)))
 
 
+def digests_of(codec: Codec, text: str | None) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids and digest of the decoded text; neither ids nor decoded text are held whole."""
+    count, ids, said = 0, hashlib.sha256(), hashlib.sha256()
+
+    def seen() -> Iterator[bytes]:
+        nonlocal count
+        for part in codec.encode_parts(text):
+            count += len(part) // 4
+            ids.update(part)
+            yield part
+
+    for piece in codec.decoded(seen()):
+        said.update(piece.encode("utf-8", "surrogatepass"))
+    return count, ids.hexdigest(), said.hexdigest()
+
+
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe") -> DataFrame:
     """Add the struct ``out``: number of tokens, digest of the ids, digest of the text decoded from the ids.
 
-    The ids of one document and a few thousand decoded tokens are held at a time.
+    The ids of a window and a few thousand decoded tokens are held at a time.
     """
     python_workers(df.sparkSession)
     name = ship(df, vocabulary)
 
-    def row(codec: Codec, value: str | None) -> tuple[int, str, str]:
-        packed = codec.encode(value)
-        digest = hashlib.sha256()
-        for piece in codec.decode(np.frombuffer(packed, "<u4")):
-            digest.update(piece.encode("utf-8", "surrogatepass"))
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest()
-
     @F.pandas_udf(RESULT)
     def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = codec_of(name)
         for texts in parts:
-            found = [row(codec, t) for t in texts]
+            found = [digests_of(codec, t) for t in texts]
             give_back()
             yield pd.DataFrame(found, columns=RESULT.names)
 

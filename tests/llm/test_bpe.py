@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -103,3 +104,29 @@ def test_whole_table(spark, text_dir, library):
         ids = library.encode(rows[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("window", [8, 13, 64])
+def test_windows_cut_no_piece(codec, library, window):
+    """Contractions, blanks and long runs at the edges of windows."""
+    rng = random.Random(window)
+    some = [*texts(150, window), "we're they'll I've it's 'tis" * 9, "a   b    c\n\n  d  " * 9, " " * 300 + "x", "x" + " " * 300, "ab" * 400 + " '" + "re" * 3]
+    some += ["".join(rng.choice(["'", "r", "e", "l", " ", "  ", "\n", "é", "1", "!"]) for _ in range(300)) for _ in range(150)]
+    for s in some:
+        ids = np.frombuffer(b"".join(codec.encode_parts(s, window)), "<u4")
+        assert ids.tolist() == library.encode(s, add_special_tokens=False).ids, s[:200]
+
+
+@pytest.mark.parametrize("unit", ["plain words of a text, ", "wörter 中文 12 "])
+def test_memory_beside_the_text_is_bounded(codec, unit):
+    """A text and one four times as long take the same room, some windows' worth."""
+    peaks = []
+    for size in (300_000, 1_200_000):
+        text = unit * (size // len(unit))
+        bpe.digests_of(codec, text[:1000])
+        tracemalloc.start()
+        count, _, said = bpe.digests_of(codec, text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count > 0 and said == hashlib.sha256(text.encode()).hexdigest()
+    assert peaks[1] < 1.2 * peaks[0] + 500_000 and peaks[1] < 20_000_000
