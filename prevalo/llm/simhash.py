@@ -5,12 +5,13 @@ Fingerprints that differ in at most ``NEAR`` (two) bits are linked; a class is w
 
 The index is a hierarchy of masked bit patterns. Its top nodes are the values of three blocks of bits: two
 fingerprints within two bits agree on one of the three, so a node under which all fingerprints
-share a block is all that has to be searched. A node with more than ``CROWD`` fingerprints is divided in
-the same way, by three blocks of the bits that aren't fixed yet, until none is crowded: however many copies
+share a block is all that has to be searched. Blocks are as wide as it takes for nodes of about ``NODE`` fingerprints. Fingerprints of nodes with more than ``CROWD`` are dealt out again
+by three blocks of a third of all bits, and a node that is still crowded is divided by three blocks of the bits that aren't fixed yet, until none is: however many copies
 gather around one fingerprint, a task gets at most ``CROWD`` at a time, and no link is lost. Within a node
 fingerprints are sorted by Gray rank, in which neighbours differ little. Runs of them are factored into nodes that hold
 the bits all below share, less those that their parent holds; a query adds up its differences on the way down
-and leaves out whole groups once there are more than two.
+and leaves out whole groups once there are more than two. Every link is found so; fingerprints are compared one by one in the last
+step down only.
 
 Searches find links among distinct fingerprints, and pass on a spanning star of each node's links instead
 of all pairs. Copies and equal fingerprints are never compared.
@@ -37,10 +38,10 @@ from prevalo.llm.components import components
 
 SHINGLE, SEED, NEAR = 3, 42, 2
 BITS, BLOCKS = 64, NEAR + 1
-#: Most fingerprints under one node of the distributed part; fewer are searched by an index in memory.
-CROWD = 4096
-#: Children of a node, and the largest node that is compared without an index.
-FAN, SMALL = 16, 48
+#: Fingerprints under one node of the distributed part, on average and at most; they are searched by an index in memory.
+NODE, CROWD = 1024, 4096
+#: Children of a node.
+FAN = 16
 #: Shingles hashed at a time.
 CHUNK = 1 << 14
 
@@ -92,6 +93,12 @@ def divided(mask: int, parts: int = BLOCKS) -> list[int]:
     return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
+def top_masks(count: int, node: int = NODE) -> list[int]:
+    """Three separate blocks of bits with about ``node`` of ``count`` fingerprints for each value of one; at most a third of all bits each."""
+    width = min(BITS // BLOCKS, max(1, (count // node).bit_length()))
+    return [((1 << width) - 1) << (BITS - width * (k + 1)) for k in range(BLOCKS)]
+
+
 class GrayIndex:
     """Index over distinct fingerprints (unsigned, 64 bits)."""
 
@@ -130,14 +137,9 @@ class GrayIndex:
 
 def stars(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code, smallest of its class): the classes among distinct codes, without those alone."""
-    if len(codes) <= SMALL:
-        a, b = np.triu_indices(len(codes), 1)
-        close = np.bitwise_count(codes[a] ^ codes[b]) <= NEAR
-        root = _joined(len(codes), [(a[close], b[close])])
-    else:
-        index = GrayIndex(codes)
-        codes = index.codes
-        root = _joined(len(codes), (_pairs(index, i) for i in range(0, len(codes), 256)))
+    index = GrayIndex(codes)
+    codes = index.codes
+    root = _joined(len(codes), (_pairs(index, i) for i in range(0, len(codes), 256)))
     least = np.full(len(codes), np.iinfo(np.int64).max)
     signed = codes.view(np.int64)
     np.minimum.at(least, root, signed)
@@ -196,18 +198,34 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def nodes(codes: DataFrame, masks: list[int], crowd: int = CROWD) -> DataFrame:
-    """(mask, pattern, code): each code under every node of the hierarchy in which it is searched."""
+def under(rows: DataFrame, which: Column) -> DataFrame:
+    """(mask, pattern, code) of codes under some masks."""
+    spread = rows.select("code", F.explode(which).alias("mask"))
+    return spread.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("pattern"), "code")
+
 
-    def under(rows: DataFrame, which: Column) -> DataFrame:
-        spread = rows.select("code", F.explode(which).alias("mask"))
-        return spread.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("pattern"), "code")
+def crowded(rows: DataFrame, crowd: int) -> DataFrame:
+    """(mask, pattern) of the nodes with more than ``crowd`` codes."""
+    many = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    return stage(many.select("mask", "pattern"), "crowds")
 
+
+def top_nodes(codes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(mask, pattern, code): the codes under nodes of about ``NODE``; those in crowded ones are dealt out again, by blocks of a third of all bits."""
+    rows = under(codes, F.array(*[F.lit(_signed(m)) for m in top_masks(codes.count())]))
+    crowds = crowded(rows, crowd)
+    if crowds.isEmpty():
+        return rows
+    again = stage(rows.join(crowds, ["mask", "pattern"], "left_semi").select("code").distinct(), "nodes")
+    return rows.join(crowds, ["mask", "pattern"], "left_anti").unionByName(nodes(again, divided(0), crowd))
+
+
+def nodes(codes: DataFrame, masks: list[int], crowd: int = CROWD) -> DataFrame:
+    """(mask, pattern, code): each code under every node of the hierarchy in which it is searched."""
     rows = under(codes, F.array(*[F.lit(_signed(m)) for m in masks]))
     done: DataFrame | None = None
     while True:
-        crowds = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-        crowds = stage(crowds.select("mask", "pattern"), "crowds")
+        crowds = crowded(rows, crowd)
         if crowds.isEmpty():
             return rows if done is None else done.unionByName(rows)
         calm = rows.join(crowds, ["mask", "pattern"], "left_anti")
@@ -224,7 +242,7 @@ def links(codes: DataFrame, crowd: int = CROWD) -> DataFrame:
     rank = F.col("code")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    rows = nodes(codes, divided(0), crowd).repartition("mask", "pattern")
+    rows = top_nodes(codes, crowd).repartition("mask", "pattern")
     return rows.withColumn("rank", rank).sortWithinPartitions("mask", "pattern", "rank").drop("rank").mapInArrow(_search, "u long, v long")
 
 

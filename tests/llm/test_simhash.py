@@ -116,3 +116,39 @@ def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_top_masks_are_separate_blocks():
+    for count, width in ((0, 1), (1000, 1), (9296, 4), (256_000, 8), (1 << 40, 21)):
+        masks = simhash.top_masks(count)
+        assert [bin(m).count("1") for m in masks] == [width] * 3 and not masks[0] & masks[1] and not (masks[0] | masks[1]) & masks[2]
+
+
+def test_the_index_answers_every_query_of_a_table(spark, monkeypatch):
+    """All distinct fingerprints of 10,000 documents: each node's codes are asked of an index of several levels, and its links are those of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    codes = np.array([r.fingerprint for r in simhash.fingerprints(docs).select("fingerprint").distinct().collect()], np.int64)
+    asked, levels, near = [], [], simhash.GrayIndex.near
+
+    def counted(self, queries, most=simhash.NEAR):
+        asked.append(len(queries))
+        levels.append(len(self.levels))
+        return near(self, queries, most)
+
+    monkeypatch.setattr(simhash.GrayIndex, "near", counted)
+    links = []
+    for m in simhash.top_masks(len(codes)):
+        pattern = codes.view(np.uint64) & np.uint64(m)
+        for p in np.unique(pattern):
+            links.append(np.stack(simhash.stars(codes.view(np.uint64)[pattern == p])))
+    assert sum(asked) == 3 * len(codes) and min(levels) > 1
+    pairs = set()
+    unsigned = codes.view(np.uint64)
+    for i in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(unsigned ^ unsigned[i]) <= 2):
+            pairs |= {(i, int(j))} if i < j else set()
+    at = {int(c): i for i, c in enumerate(codes)}
+    u, v = np.concatenate(links, axis=1)
+    got = simhash._joined(len(codes), [(np.array([at[int(x)] for x in u]), np.array([at[int(x)] for x in v]))])
+    want = simhash._joined(len(codes), [tuple(np.array(sorted(pairs), int).T)])
+    assert pairs and (got == want).all()
