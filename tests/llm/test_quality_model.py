@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -87,3 +88,19 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(r.predicted == (r.score >= 0.3) for r in rows)
     assert sum(r.predicted == quality[r.doc_id] for r in out) >= 0.95 * len(out)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 100, 2049])
+def test_blocks_of_a_long_chain_give_the_marginals_of_the_chain(n):
+    rng = np.random.default_rng(n)
+    score, pairs = rng.normal(0, 3, n), rng.normal(0, 2, (2, 2))
+    want, _ = qm.marginals(score, qm.steps_of(np.array([n])), pairs)
+    assert np.allclose(qm.chain_marginals(score, pairs), want, atol=1e-9)
+
+
+def test_a_text_of_many_lines_takes_seconds():
+    field = qm.Field(np.random.default_rng(1).normal(0, 1, 3 * qm.OWN), np.array([[1.0, -1], [-1, 1]]), 0.5)
+    text = "".join(f"line {i} of a long text\n" for i in range(200_000)).encode()
+    start = time.perf_counter()
+    (one,), both = qm.score_batch([text], field), qm.score_batch([b"short\nlines", text, None], field)
+    assert time.perf_counter() - start < 20 and both[1] == pytest.approx(one) and 0 <= one <= 1 and both[2] == 0.5
