@@ -22,4 +22,7 @@ def claims_schemas(id_type: T.DataType | None = None) -> dict[str, T.StructType]
     }
 
 
+#: Columns that are kept where a table has them: the year of a master row, which as-of joins need.
+OPTIONAL_COLUMNS = {"VERS": {"BJAHR": T.IntegerType()}}
+
 CODE_LIST_COLUMNS = ("ICD_CODE", "ICD_TEXT", "ORPHA_CODE", "ORPHA_TEXT", "ORDO_LEVEL")

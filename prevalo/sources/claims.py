@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prevalo.operators.diagnoses import unified_diagnoses
-from prevalo.schemas import claims_schemas
+from prevalo.schemas import OPTIONAL_COLUMNS, claims_schemas
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,13 @@ class Claims:
 
 
 def _conform(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
-    """The needed columns by name and type, whatever else the table holds."""
+    """The needed columns, and the optional ones that are there, by name and type, whatever else the table holds."""
     missing = [f.name for f in schema if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{table}: missing columns {missing}")
-    return raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+    more = {name: kind for name, kind in OPTIONAL_COLUMNS.get(table, {}).items() if name in raw.columns}
+    kinds = {f.name: f.dataType for f in schema} | more
+    return raw.select(*(F.col(name).cast(kind).alias(name) for name, kind in kinds.items()))
 
 
 def _assemble(tables: dict[str, DataFrame]) -> Claims:

@@ -35,9 +35,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{staging_root(spark)}/staged/{spark.sparkContext.applicationId}/{_scope.get() or 'session'}"
 
 
+def _database_name(folder: str) -> str:
+    return "prevalo_" + "".join(c if c.isalnum() else "_" for c in folder.rsplit("/staged/", 1)[1]).lower()
+
+
 def _database(spark: SparkSession, folder: str) -> str:
-    """A database that holds the staged tables of a folder."""
-    name = "prevalo_" + "".join(c if c.isalnum() else "_" for c in folder.rsplit("/staged/", 1)[1]).lower()
+    """A database that holds the bucketed tables of a folder."""
+    name = _database_name(folder)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{folder}'")
     return name
 
@@ -76,8 +80,9 @@ def staging_scope(spark: SparkSession) -> Iterator[str]:
 
 
 def clear_staged(spark: SparkSession, folder: str | None = None) -> None:
-    """Delete a scope's staged tables, or those of the session outside scopes. Results that read them are lost.
-
-    Dropping the database that lies in the folder removes the folder with all it holds.
-    """
-    spark.sql(f"DROP DATABASE {_database(spark, folder or _folder(spark))} CASCADE")
+    """Delete a scope's staged tables, or those of the session outside scopes. Results that read them are lost."""
+    folder = folder or _folder(spark)
+    # Bucketed tables are in a database, which exists only if there are any.
+    spark.sql(f"DROP DATABASE IF EXISTS {_database_name(folder)} CASCADE")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
