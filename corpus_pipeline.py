@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from prevalo.llm import language, mixing, repeats, simhash
 from prevalo.llm.common import stage, table
 from prevalo.llm.queries import token_digests
+from prevalo.sources.staging import clear_staged, staging_scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -64,5 +65,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with staging_scope(spark) as folder:
+            kept = step(spark, docs, sf_dir)
+        docs = stage(kept, name)
+        clear_staged(spark, folder)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
