@@ -45,6 +45,11 @@ class Hashed:
         """The hash of data[start : start + length], wherever it stands."""
         return (self.prefix[start + length] - self.prefix[start]) * self.scale[start]
 
+    def bytes_at(self, start: np.ndarray, length: int) -> np.ndarray:
+        """The bytes of data[start : start + length], a row for each start."""
+        every = np.ndarray((len(self.data) - length + 1,), f"V{length}", np.ascontiguousarray(self.data), strides=(1,))
+        return every[start].view(np.uint8).reshape(len(start), length)
+
     def grams(self, size: int) -> np.ndarray:
         """Hashes of all stretches of one size, mixed so that every bit depends on every byte."""
         h = (self.prefix[size:] - self.prefix[:-size]) * self.scale[: max(0, len(self.data) - size + 1)]
@@ -77,7 +82,32 @@ class Hashed:
 
 def sort_suffixes(text: Hashed, at: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): suffixes by group and then by their first ``limit`` bytes (all have that many), and
-    whether each has the same group and bytes as the one before it."""
+    whether each has the same group and bytes as the one before it.
+
+    Suffixes of a group with the same hash of these bytes are sorted as one, once their bytes have been compared; if two differ all the
+    same, all are sorted one by one.
+    """
+    whole = text.stretch(at, limit)
+    by_hash = np.lexsort((whole, group))
+    copy = np.zeros(len(at), bool)
+    copy[1:] = (group[by_hash[1:]] == group[by_hash[:-1]]) & (whole[by_hash[1:]] == whole[by_hash[:-1]])
+    again = np.flatnonzero(copy)
+    for i in range(0, len(again), ROWS):
+        k = again[i : i + ROWS]
+        if (text.bytes_at(at[by_hash[k - 1]], limit) != text.bytes_at(at[by_hash[k]], limit)).any():
+            return _sort_each(text, at, group, limit)
+    starts = np.flatnonzero(~copy)
+    one = by_hash[starts]
+    order, _ = _sort_each(text, at[one], group[one], limit)
+    sizes = np.diff(np.append(starts, len(at)))[order]
+    heads = np.cumsum(sizes) - sizes
+    same = np.ones(len(at), bool)
+    same[heads] = False
+    return by_hash[np.repeat(starts[order] - heads, sizes) + np.arange(len(at))], same
+
+
+def _sort_each(text: Hashed, at: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by a mergesort of all suffixes."""
     order = np.argsort(group, kind="stable")
     new = np.concatenate([[True], group[order][1:] != group[order][:-1]]) if len(order) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
@@ -117,8 +147,7 @@ def _verified(text, at, order, starts, sizes, new, limit) -> tuple[np.ndarray, n
     inner = np.flatnonzero(~new)
     for i in range(0, len(inner), ROWS):
         k = inner[i : i + ROWS]
-        reach = np.arange(limit)
-        before, here = text.data[at[order[k - 1]][:, None] + reach], text.data[at[order[k]][:, None] + reach]
+        before, here = text.bytes_at(at[order[k - 1]], limit), text.bytes_at(at[order[k]], limit)
         differ = before != here
         place = differ.argmax(axis=1)
         rows = np.arange(len(k))
