@@ -17,9 +17,9 @@ Sorting the suffixes of all documents in one place would move every position of
 5. Blocks remove what is covered by stretches whose smallest id is below the document's own.
 
 The texts are shuffled once, by block; the exchange is shared by steps 1, 3 and 5. What steps 2 and 4 send
-back is bits and runs. Blocks and buckets have bounded sizes, so neither grows with the input.
+back is bits and runs. Blocks and buckets have the same sizes on average whatever the input; a bucket's contexts can be several times its share of the text.
 
-Cases: a null text is an empty one; texts under ``SPAN`` bytes lose nothing; a null id is larger than any other; rows
+Cases: a null text is an empty one; texts under ``SPAN`` bytes lose nothing; a null id is larger than any other, and 2^63 - 1 counts as null; rows
 with the same id never remove each other's bytes; empty tables give empty results. Columns named in ``keep`` are carried along in
 the struct ``doc``; others are dropped.
 """
