@@ -1,7 +1,7 @@
 """The corpus pipeline: language, near copies, repeated passages, mixing, tokens.
 
 Every stage takes documents with null texts, languages, sources and ids, empty and very long texts, repeated rows and further columns,
-also those with names that an operator uses inside: the rows of a stage's result are rows of its input, with all their columns. What
+also those with names that an operator uses inside, but for names that begin with two underscores: the rows of a stage's result are rows of its input, with all their columns. What
 becomes of each case is stated in the operator's module. An empty table stays empty.
 """
 
