@@ -6,7 +6,7 @@ outpatient, the finished ones inpatient.
 
 from pyspark.sql import DataFrame, SparkSession
 from prevalo.constants import INPATIENT, OUTPATIENT
-from prevalo.sources import Claims
+from prevalo.sources import Claims, bounded_tasks
 
 # The 50 codes that part sizes 1 to 50 stand for.
 CODES = (
@@ -23,6 +23,7 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
     Diagnoses come from one pass over the lines. The master tables only ask whether a
     contact has any line, so they semi-join the contacts instead of multiplying them.
     """
+    bounded_tasks(spark)
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")

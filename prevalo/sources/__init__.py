@@ -3,10 +3,11 @@
 from prevalo.sources.claims import Claims, read_claims, read_claims_tables, store_claims
 from prevalo.sources.code_list import code_frame, read_code_list
 from prevalo.sources.results import write_result
-from prevalo.sources.staging import clear_staged, stage, staging_scope
+from prevalo.sources.staging import bounded_tasks, clear_staged, stage, staging_scope
 
 __all__ = [
     "Claims",
+    "bounded_tasks",
     "clear_staged",
     "code_frame",
     "read_claims",
