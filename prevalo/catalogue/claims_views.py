@@ -23,7 +23,6 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
     Diagnoses come from one pass over the lines. The master tables only ask whether a
     contact has any line, so they semi-join the contacts instead of multiplying them.
     """
-    bounded_tasks(spark)
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,6 +83,7 @@ def claims_from_star(spark: SparkSession, sf_dir: str) -> Claims:
             " WHEN PSID % 17 = 0 THEN NULL ELSE 1 + PSID % 2 END AS INT) AS GESCHLECHT",
         )
     )
+    bounded_tasks(spark, *(f"{sf_dir}/{name}.parquet" for name in ("customer", "part", "orders", "lineitem")))
     return Claims(ambdiag=ambdiag, khdiag=khdiag, vers=vers, versq=versq)
 
 
